@@ -21,7 +21,7 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Words in a window that counts as repeated.
 WINDOW = 8
 #: Name of each ratio, and the least interquartile range that it is taken to have.
-RATIOS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.05, "repeat_ratio": 0.04, "word_length": 0.8}
+RATIOS = {"symbol_ratio": 0.02, "dup_line_ratio": 0.1, "repeat_ratio": 0.05, "word_length": 0.8}
 
 
 def metrics(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:

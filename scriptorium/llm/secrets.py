@@ -84,6 +84,10 @@ def _is_random(string: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_bits(string) >= least)
 
 
+def _numbered(spans: Column, kind_no: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind_no).alias("kind_no"), s["end"].alias("end")))
+
+
 def find_secrets(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """``keep`` columns with ``secret_spans``: array of (start, kind_no, end) by start, then kind."""
     df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
@@ -94,7 +98,7 @@ def find_secrets(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     df = df.withColumn("_fresh", F.when(F.size("_runs") > 0, fresh).otherwise(F.array().cast(SPAN)))
     entropy = F.filter("_fresh", lambda r: _is_random(t.substr((r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int"))))
     df = df.withColumn("_entropy", F.when(F.size("_fresh") > 0, entropy).otherwise(F.array().cast(SPAN)))
-    kinds = [F.transform(f"_{k}", lambda s, n=n: F.struct(s["start"].alias("start"), F.lit(n).alias("kind_no"), s["end"].alias("end"))) for n, k in enumerate(KINDS)]
+    kinds = [_numbered(F.col(f"_{k}"), n) for n, k in enumerate(KINDS)]
     return df.select(*keep, F.array_sort(F.concat(*kinds)).alias("secret_spans"))
 
 
