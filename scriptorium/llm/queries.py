@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, secrets, url_filters
+from . import bpe, quality_rules, secrets, url_filters
 from .common import documents
 
 #: host, path, verdict
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+#: Ranks file of the tokenizer, and the pattern that splits texts.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    df = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), *tokenizer)
+    df = bpe.decode(df, *tokenizer)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality_rules.apply_rules(documents(spark, sf_dir), "doc_id")
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -52,6 +66,7 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op8_secret_scans": op8_secret_scans,
