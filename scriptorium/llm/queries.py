@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, secrets, url_filters
+from . import bpe, near_dedup, quality_rules, secrets, url_filters
 from .common import documents
 
 #: host, path, verdict
@@ -65,11 +65,17 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), threshold=85)
+    return df.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op8_secret_scans": op8_secret_scans,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES = {"op5_url_filters": OP5_SQL}
