@@ -77,7 +77,9 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
     """(first row, end row, bytes, offsets) of runs of texts; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    binary = pc.fill_null(column, "").cast(pa.large_binary())
+    if column.type in (pa.string(), pa.large_string()):
+        column = pc.fill_null(column, "")
+    binary = column.cast(pa.large_binary())
     offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
     data = np.frombuffer(binary.buffers()[2], np.uint8) if binary.buffers()[2] is not None else np.empty(0, np.uint8)
     a = 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, quality_rules, secrets, url_filters
+from . import bpe, near_dedup, quality_rules, secrets, suffix_dedup, url_filters
 from .common import documents
 
 #: host, path, verdict
@@ -65,6 +65,11 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = suffix_dedup.remove_repeats(documents(spark, sf_dir), "doc_id", length=400)
+    return df.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = near_dedup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), threshold=85)
     return df.select("doc_id", "n_shingles", "component_id", "kept")
@@ -75,6 +80,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op8_secret_scans": op8_secret_scans,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
