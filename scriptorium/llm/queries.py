@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, quality_rules, secrets, suffix_dedup, url_filters
+from . import bpe, language_id, near_dedup, quality_classifier, quality_rules, secrets, suffix_dedup, url_filters
 from .common import documents
 
 #: host, path, verdict
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    model = language_id.fit(docs, ~held_out)
+    df = language_id.identify(docs.select("doc_id", "text"), model, "doc_id")
+    return df.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 #: Ranks file of the tokenizer, and the pattern that splits texts.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,6 +38,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    model = quality_classifier.fit(docs, labels, ~held_out)
+    df = quality_classifier.score(docs.select("doc_id", "text"), model, "doc_id")
+    return df.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality_rules.apply_rules(documents(spark, sf_dir), "doc_id")
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -76,7 +96,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
     "op8_secret_scans": op8_secret_scans,
