@@ -89,11 +89,14 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes, first word of each text and the end) of the words; texts never share a word."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, table: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes, first word of each text and the end) of the words.
+
+    ``table`` tells the bytes of words; texts never share a word.
+    """
     if lower:
         data = _LOWER[data]
-    inside = _IS_WORD[data]
+    inside = table[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     edge = np.zeros(len(data) + 1, bool)
