@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, secrets, suffix_dedup, url_filters
+from . import bpe, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup, url_filters
 from .common import documents
 
 #: host, path, verdict
@@ -74,6 +74,11 @@ FROM parsed p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = substring_dedup.near_passages(documents(spark, sf_dir).select("doc_id", "text"))
+    return df.select("doc_id", "class_id", "n_links", F.to_json("passages").alias("passages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contaminated(documents(spark, sf_dir), benchmark)
@@ -106,6 +111,7 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filters": op5_url_filters,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_secret_scans": op8_secret_scans,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
