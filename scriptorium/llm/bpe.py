@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +32,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f" (?=[^{WHITE}])")
 _ODD = re.compile(f" [{WHITE}]| \\Z")
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
 #: Longest chunk, in characters, that is cached.
 CACHED_CHARS = 64
 LONG_WORD = 256
@@ -78,8 +78,9 @@ SELECT key >> 32 AS w, tok FROM s WHERE tok >= 0 ORDER BY key
 """
 
 DECODE = """
-SELECT d.doc AS doc, string_agg(v.hex, '' ORDER BY d.pos) AS hex
-FROM ids d JOIN vocabulary v ON v.id = d.id GROUP BY d.doc
+SELECT doc, string_agg(hex, '') AS hex
+FROM (SELECT d.doc, v.hex FROM ids d JOIN vocabulary v ON v.id = d.id ORDER BY d.pos)
+GROUP BY doc
 """
 
 
@@ -89,24 +90,22 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class Coder:
-    """Encodes and decodes in one Python worker; ``path`` is the ranks file, ``pattern`` splits texts."""
+class Encoder:
+    """Encodes in one Python worker; ``path`` is the ranks file, ``pattern`` splits texts."""
 
     def __init__(self, path: str, pattern: str):
-        import duckdb
         import regex
 
         ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.whole = ranks
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+        self.db = _database()
         splits = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = (pa.array(x, pa.int64()) for x in zip(*splits, strict=True))
-        merges = pa.table({"l": left, "r": right, "rank": rank})  # noqa: F841  named in the SQL
-        self.db.execute("CREATE TABLE merges AS SELECT (l << 24) + r AS pair, rank FROM merges")
-        words = pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})  # noqa: F841
-        self.db.execute("CREATE TABLE vocabulary AS SELECT id, hex FROM words")
+        self.db.register("splits", pa.table({"l": left, "r": right, "rank": rank}))
+        self.db.execute("CREATE TABLE merges AS SELECT (l << 24) + r AS pair, rank FROM splits")
+        self.db.unregister("splits")
         self.words: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
@@ -154,31 +153,42 @@ class Coder:
             self.first.clear()
             self.spaced.clear()
         cut = [(t.split(" ") if not _ODD.search(t) else _CUT.split(t)) if t else [] for t in texts]
-        new = {(" " if i else "") + c for chunks in cut for c, i in _unseen(chunks, self.first, self.spaced)}
+        found: list[list[bytes | None]] = []
+        new = set()
+        for chunks in cut:
+            ids = list(map(self.spaced.get, chunks))
+            if chunks:
+                ids[0] = self.first.get(chunks[0])
+                if None in ids:
+                    new.update((" " if i else "") + c for i, (c, x) in enumerate(zip(chunks, ids, strict=True)) if x is None)
+            found.append(ids)
         parts = {c: self.pattern.findall(c) for c in new}
         self._encode_words(list({w for words in parts.values() for w in words if w not in self.words}))
         beyond: dict[str, bytes] = {}
         get = self.words.__getitem__
         for c, words in parts.items():
             ids = b"".join(map(get, words))
-            if len(c) > CACHED_CHARS:
-                beyond[c] = ids
-            elif c[:1] == " ":
-                self.spaced[c[1:]] = ids
-            else:
-                self.first[c] = ids
-        out = []
-        for chunks in cut:
-            if not chunks:
-                out.append(np.empty(0, np.int32))
-                continue
-            head = self.first.get(chunks[0])
-            found = [beyond[chunks[0]] if head is None else head]
-            tail = list(map(self.spaced.get, chunks[1:]))
-            if None in tail:
-                tail = [beyond[" " + c] if x is None else x for x, c in zip(tail, chunks[1:], strict=True)]
-            out.append(np.frombuffer(b"".join(found + tail), np.int32))
-        return out
+            beyond[c] = ids
+            if len(c) <= CACHED_CHARS:
+                if c[:1] == " ":
+                    self.spaced[c[1:]] = ids
+                else:
+                    self.first[c] = ids
+        for chunks, ids in zip(cut, found, strict=True):
+            if None in ids:
+                ids[:] = [beyond[(" " if i else "") + c] if x is None else x for i, (c, x) in enumerate(zip(chunks, ids, strict=True))]
+        return [np.frombuffer(b"".join(ids), np.int32) for ids in found]
+
+
+class Decoder:
+    """Decodes in one Python worker."""
+
+    def __init__(self, path: str):
+        ranks = read_ranks(path)
+        self.db = _database()
+        self.db.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": pa.array([t.hex() for t in ranks])}))
+        self.db.execute("CREATE TABLE vocabulary AS SELECT id, hex FROM tokens")
+        self.db.unregister("tokens")
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         """Bytes of each run of ``lengths`` ids."""
@@ -192,17 +202,16 @@ class Coder:
         return out
 
 
-def _unseen(chunks: list[str], first: dict, spaced: dict) -> Iterable[tuple[str, int]]:
-    if chunks and chunks[0] not in first:
-        yield chunks[0], 0
-    for c in {c for c in chunks[1:] if c not in spaced}:
-        yield c, 1
+def _database():
+    import duckdb
+
+    # one thread: rows then reach the aggregation in the order of the sort
+    return duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
 
 
-@lru_cache(maxsize=2)
-def coder(path: str, pattern: str) -> Coder:
-    """The worker's coder; workers are used again by later tasks."""
-    return Coder(path, pattern)
+# workers are used again by later tasks, and so are these
+encoder = lru_cache(maxsize=2)(Encoder)
+decoder = lru_cache(maxsize=2)(Decoder)
 
 
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -223,7 +232,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
     schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(path, pattern)
+        own = encoder(path, pattern)
         for batch in batches:
             column = batch.column(text)
             for a, b in _slices(_lengths(column), 2_000_000):
@@ -241,7 +250,7 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def decode(docs: DataFrame, path: str, pattern: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with ``decoded`` (binary) of ``ids``."""
     keep = [f for f in docs.schema.fields if f.name != decoded]
     schema = T.StructType([*keep, T.StructField(decoded, T.BinaryType())])
@@ -249,7 +258,7 @@ def decode(docs: DataFrame, path: str, pattern: str, *, ids: str = "ids", decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        own = coder(path, pattern)
+        own = decoder(path)
         for batch in batches:
             column = batch.column(ids)
             lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
