@@ -209,9 +209,15 @@ def _database():
     return duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
 
 
-# workers are used again by later tasks, and so are these
-encoder = lru_cache(maxsize=2)(Encoder)
-decoder = lru_cache(maxsize=2)(Decoder)
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """The worker's encoder; workers are used again by later tasks."""
+    return Encoder(path, pattern)
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
