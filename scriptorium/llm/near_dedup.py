@@ -7,8 +7,9 @@
    hold follow each other in either sketch.  Of its keys a set uses the rarest, as many as leave no
    room for a similar set that misses them all (see :func:`needed`).
 3. In each list every set meets the list's smallest id; links found make components.  Only sets of
-   a list that are in different components then still meet each other.  Long lists are first split
-   by a second key, which similar sets share as well.
+   a list that are in different components then still meet each other.  Long lists do so in blocks
+   of BLOCK sets: a task compares two blocks by the larger sketches of their sets, and only pairs
+   that may be similar leave it.
 4. The sketch of a pair's union estimates its similarity and drops pairs far below the threshold.
 5. The rest are confirmed by the exact Jaccard similarity of the full sets, from the texts.
 
@@ -39,8 +40,8 @@ K = 48
 SHARED = 6
 #: The estimate may fall this far below the threshold before a pair is dropped (6 deviations).
 SLACK = 0.31
-#: Lists longer than this are split by a second key before their sets meet each other.
-LONG_LIST = 64
+#: Sets of lists longer than this meet each other in blocks of so many, by sketches of so many values.
+LONG_LIST, BLOCK, BLOCK_K = 64, 1024, 256
 
 SKETCH = "n_shingles long, set_a long, set_b long, sketch array<long>"
 
@@ -100,7 +101,7 @@ def keyed(sets: DataFrame, threshold: float, k: int = K) -> DataFrame:
     use = total - F.get(bound, F.least(F.col("n"), F.lit(k)).cast("int")) + 1
     alone = total - F.size("keys")
     rows = rows.withColumn("keys", F.slice("keys", 1, F.greatest(use - alone, F.lit(0))))
-    return rows.select("id", "n", F.explode("keys").alias("e"), "keys").select("id", "n", "e.key", "e.n_list", "keys")
+    return rows.select("id", "n", F.explode("keys").alias("e")).select("id", "n", "e.key", "e.n_list")
 
 
 def estimate(a: Column, b: Column, k: int = K) -> Column:
@@ -115,7 +116,10 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: int,
     t = threshold / 100
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     rows = pairs.join(side("a"), "a").filter("n_a IS NOT NULL").join(side("b"), "b")
-    rows = rows.filter((100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= t - SLACK))
+    # a sketch that holds most of the union estimates better
+    union = (F.col("n_a") + F.col("n_b")) / (1 + t)
+    slack = SLACK * F.sqrt(F.greatest(F.lit(0.0), 1 - K / union)) + 1e-9
+    rows = rows.filter((100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= t - slack))
     rows = materialize(rows.select("a", "b"), "near-pairs")
     ids = small(rows.select(F.col("a").alias("id")).union(rows.select(F.col("b").alias("id"))).distinct(), 400_000)
     found = materialize(texts.join(ids, "id", "left_semi"), "near-texts")
@@ -141,6 +145,69 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: int,
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-links")
 
 
+def block_pairs(rows: DataFrame, texts: DataFrame, threshold: int, words: int) -> DataFrame:
+    """(a, b) of lists (key, id, n, c, m) whose components c differ and whose sets may be similar."""
+    ids = small(rows.select("id").distinct(), 400_000)
+    big = materialize(sketches(texts.join(ids, "id", "left_semi"), "id", words=words, k=BLOCK_K).select("id", "sketch").dropDuplicates(["id"]), "near-big")
+    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    placed = rows.join(big, "id").withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    blocks = placed.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("id", "n", "c", "sketch")).alias("sets"))  # about BLOCK rows
+    blocks = materialize(blocks, "near-blocks")
+    one = blocks.select("key", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), F.col("sets").alias("sets_a"))
+    both = one.join(blocks.select("key", F.col("block").alias("other"), F.col("sets").alias("sets_b")), ["key", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = similar_in_blocks(*[_members(batch.column(c), i) for c in ("sets_a", "sets_b")], threshold / 100)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return both.select("sets_a", "sets_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def _members(column: pa.Array, i: int) -> tuple[np.ndarray, ...]:
+    """(ids, sizes, components, places of sketches, sketch values) of one block."""
+    sets = column.slice(i, 1).flatten()
+    lists = sets.field("sketch")
+    ends = lists.offsets.to_numpy()
+    values = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+    return sets.field("id").to_numpy(), sets.field("n").to_numpy(), sets.field("c").to_numpy(), ends - ends[0], values
+
+
+def similar_in_blocks(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], t: float, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Ids a < b of pairs in different components whose sketches allow similarity ``t``.
+
+    Shared values are counted by products of incidence matrices, some columns at a time.
+    """
+    (ids_a, n_a, c_a, at_a, v_a), (ids_b, n_b, c_b, at_b, v_b) = one, two
+    row_a, row_b = (np.repeat(np.arange(len(at) - 1), np.diff(at)) for at in (at_a, at_b))
+    known = np.intersect1d(v_a, v_b)
+    shared = np.zeros((len(ids_a), len(ids_b)), np.float32)
+    col_a, col_b = np.searchsorted(known, v_a), np.searchsorted(known, v_b)
+    in_a, in_b = (np.zeros(len(v), bool) for v in (v_a, v_b))
+    if len(known):
+        in_a, in_b = known[np.minimum(col_a, len(known) - 1)] == v_a, known[np.minimum(col_b, len(known) - 1)] == v_b
+    for x in range(0, len(known), columns):
+        pick_a, pick_b = in_a & (col_a >= x) & (col_a < x + columns), in_b & (col_b >= x) & (col_b < x + columns)
+        m_a, m_b = np.zeros((len(ids_a), columns), np.float32), np.zeros((len(ids_b), columns), np.float32)
+        m_a[row_a[pick_a], col_a[pick_a] - x] = 1
+        m_b[row_b[pick_b], col_b[pick_b] - x] = 1
+        shared += m_a @ m_b.T
+    # both sketches are complete up to the smaller of their ends
+    whole = np.uint64(0xFFFFFFFFFFFFFFFF)
+    end_a = np.array([v_a[e - 1] if e - s < n else whole for s, e, n in zip(at_a[:-1], at_a[1:], n_a, strict=True)], np.uint64)
+    end_b = np.array([v_b[e - 1] if e - s < n else whole for s, e, n in zip(at_b[:-1], at_b[1:], n_b, strict=True)], np.uint64)
+    upto_a = np.array([np.searchsorted(v_a[s:e], end_b, side="right") for s, e in zip(at_a[:-1], at_a[1:], strict=True)])
+    upto_b = np.array([np.searchsorted(v_b[s:e], end_a, side="right") for s, e in zip(at_b[:-1], at_b[1:], strict=True)]).T
+    seen = np.maximum(upto_a + upto_b - shared, 1)
+    union = np.maximum((n_a[:, None] + n_b[None, :]) / (1 + t), seen)
+    slack = 6 * np.sqrt(t * (1 - t) / seen * (1 - seen / union)) + 1e-6
+    sizes = np.minimum(n_a[:, None], n_b[None, :]) >= t * np.maximum(n_a[:, None], n_b[None, :]) - 1e-9
+    x, y = np.nonzero(sizes & (c_a[:, None] != c_b[None, :]) & (shared / seen >= t - slack))
+    a, b = ids_a[x], ids_b[y]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
 def _set_of(column: pa.Array, words: int) -> np.ndarray:
     (_, _, data, offsets), = hashing.slices(column)
     return shingle_sets(data, offsets, words)[0]
@@ -171,14 +238,12 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
         mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key", "m")
         return rows.join(materialize(mixed, "near-mixed"), "key")
 
-    rows = materialize(unresolved(lists.select("key", "id", "n", "keys")), "near-unresolved")
-    short, long = rows.filter(F.col("m") <= LONG_LIST).drop("keys"), rows.filter(F.col("m") > LONG_LIST)
-    second = long.select("id", "n", F.col("key").alias("k1"), F.explode("keys").alias("e")).filter("k1 < e.key").select(F.xxhash64("k1", "e.key").alias("key"), "id", "n")
-    split = unresolved(second)
-    rest = short.select("key", "id", "n", "c").unionByName(split.select("key", "id", "n", "c"))
-    rest = materialize(rest, "near-rest")
+    rows = materialize(unresolved(lists.select("key", "id", "n")), "near-unresolved")
+    short, long = rows.filter(F.col("m") <= LONG_LIST), rows.filter(F.col("m") > LONG_LIST)
+    rest = materialize(short.select("key", "id", "n", "c"), "near-rest")
     left, right = (rest.select("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
     met = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (100 * F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")))
+    met = met.select("a", "b").union(block_pairs(long.select("key", "id", "n", "c", "m"), texts, threshold, words))
     # pairs that met a list's smallest id were decided before
     more = verify(met.select("a", "b").distinct(), sets, texts, threshold, words)
     joined = links.union(more) if not more.isEmpty() else links
