@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from .common import SPACE_BYTES
 
 #: Bytes of text that are hashed at a time; a longer text is hashed whole.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,6 +140,18 @@ def cut_contexts(texts: DataFrame, onward: DataFrame, length: int) -> DataFrame:
     return materialize(rows, "suffix-contexts")
 
 
+def merged(spans: Column) -> Column:
+    """Sorted spans, those that meet as one."""
+
+    def step(out: Column, s: Column) -> Column:
+        last = F.element_at(out, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        meets = F.when(F.size(out) > 0, s["start"] <= last["end"]).otherwise(False)
+        return F.when(meets, F.array_append(F.slice(out, 1, F.size(out) - 1), longer)).otherwise(F.array_append(out, s))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
 def remove_repeats(docs: DataFrame, *keep: str, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``keep`` columns with n_bytes, n_removed, n_spans and ``kept_bytes`` (binary) of each row.
 
@@ -158,7 +170,8 @@ def remove_repeats(docs: DataFrame, *keep: str, text: str = "text", length: int
     parts = parts.select("uid", "anchor", "s1", "s2", "known", F.expr(f"substring(bytes, s1 - from + 1, s2 - s1 + {length})").alias("bytes"))
     found3, _ = split(materialize(pieces(parts, length, 1), "suffix-windows"))
     spans = found.union(found2).union(found3).select("uid", F.struct(F.col("s1").alias("start"), (F.col("s2") + length).alias("end")).alias("span"))
-    spans = materialize(spans.groupBy("uid").agg(F.collect_set("span").alias("spans")), "suffix-spans")
+    spans = spans.groupBy("uid").agg(F.array_sort(F.collect_set("span")).alias("spans"))  # one text's spans
+    spans = materialize(spans.select("uid", merged(F.col("spans")).alias("spans")), "suffix-spans")
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([*fields, *T._parse_datatype_string("n_bytes long, n_removed long, n_spans long, kept_bytes binary").fields])
     rows = docs.select(*keep, own.alias("_t"), F.unhex(F.md5(own)).alias("uid")).join(small(spans, SPAN_ROWS), "uid", "left").select(*keep, "_t", "spans")
@@ -167,17 +180,11 @@ def remove_repeats(docs: DataFrame, *keep: str, text: str = "text", length: int
         for batch in batches:
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             for t, s in zip(batch.column("_t").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for a, b in sorted((x["start"], x["end"]) for x in s or ()):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                edges = [0, *[e for m in merged for e in m], len(t)]
-                kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if merged else t)
+                edges = [0, *[e for x in s or () for e in (x["start"], x["end"])], len(t)]
+                kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if s else t)
                 n_bytes.append(len(t))
                 n_removed.append(len(t) - len(kept[-1]))
-                n_spans.append(len(merged))
+                n_spans.append(len(s or ()))
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in fields], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], schema.names)
 
     return rows.mapInArrow(run, schema)
