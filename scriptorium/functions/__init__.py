@@ -1 +1 @@
-
+"""Column functions, all JVM-side."""

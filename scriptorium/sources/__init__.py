@@ -1 +1 @@
-
+"""Readers, writers and helpers around stored tables."""

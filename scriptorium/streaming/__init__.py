@@ -1 +1 @@
-
+"""Structured Streaming over append-only logs and events."""
