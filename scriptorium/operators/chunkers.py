@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import numeric, text as tx
+from ..sources.stored import settle
 from . import sections
 from .html import cut_text
 
@@ -53,9 +54,10 @@ def fixed_chunks(text: Column, size: int, overlap: int = 0) -> Column:
 
 def structure_chunks(pages: DataFrame, tree: DataFrame, *, most: int = MAX_CHARS, large: int = LARGE, whole_pages: bool = False, prefix: str = "struct_v1") -> DataFrame:
     """Chunks per level-3 section; large ones along their direct subsections, with the lead before the first."""
-    texts = sections.section_texts(tree, pages, whole_pages=whole_pages)
+    tree = settle(tree, "tree")
+    texts = settle(sections.section_texts(tree, pages, whole_pages=whole_pages), "section-texts")
     size = texts.select("doc", "ord", F.length("text").alias("size"))
-    kids = sections.descendants(tree).join(tree.select("doc", F.col("ord").alias("child"), F.col("level").alias("child_level")), ["doc", "child"])
+    kids = settle(sections.descendants(tree).join(tree.select("doc", F.col("ord").alias("child"), F.col("level").alias("child_level")), ["doc", "child"]), "subsections")
     units = tree.filter("level = 3").select("doc", "ord").join(size, ["doc", "ord"])
     inner = kids.filter("child_level IN (4, 5)")
     split = units.filter(F.col("size") > large).join(inner.select("doc", "ord").distinct(), ["doc", "ord"], "left_semi")
@@ -123,6 +125,7 @@ def _capped(chunks: DataFrame, most: int, overlap: int) -> DataFrame:
 def hybrid_chunks(pages: DataFrame, tree: DataFrame, *, embed: Callable[[Column], Column] = numeric.hash_vector, most: int = MAX_CHARS, large: int = LARGE, overlap: int = OVERLAP) -> DataFrame:
     """Structure first, over whole pages; what is still over ``most`` is cut by meaning, then by length."""
     rows = structure_chunks(pages, tree, most=most, large=large, whole_pages=True, prefix="hybrid_v1")
+    rows = settle(rows, "hybrid")
     long = rows.filter(F.length("text") > most)
     cut = long.select("ord", "chunk_no", "page", F.col("chunk_id").alias("doc"), F.col("doc").alias("d"), F.posexplode(tx.sentences(F.col("text"))).alias("seq", "sentence"))
     parts = semantic_breaks(cut, embed).groupBy("doc", "d", "ord", "chunk_no", "page", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "sentence"))).alias("ss"))
