@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import numeric, text as tx
-from ..operators import audit, chunkers, evaluation as ev, html, retrieval as rt, sections, validation as va
+from ..operators import audit, chunkers, evaluation as ev, html, maintenance as mt, retrieval as rt, sections, validation as va
 from ..sources import readers, writers
 from ..streaming import logs
 from . import sql, tables as tb
@@ -518,4 +518,50 @@ def review_checklist(spark, d):
     return writers.checklist(rows, "source", "doc_id").select("doc_id", "source", "n")
 
 
+# --- sweeps and repairs -----------------------------------------------------------------------
+
+
+@query(sql.BREACHES)
+def filter_compliance(spark, d):
+    """Unfiltered hits that a filter would have kept out, per question."""
+    return mt.filter_breaches(_bm25(spark, d), tb.nodes(spark, d), {"version": "en"}).groupBy("qid").agg(F.count("*").alias("n"))
+
+
+@query(sql.CORRECTED)
+def corrections(spark, d):
+    docs = tb.read(spark, d, "documents").select("doc_id", "lang", "source")
+    fixes = docs.filter("doc_id % 7 = 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "xx").alias("lang"))
+    return mt.corrected(docs, fixes, "doc_id")
+
+
+@query(sql.SCOPES)
+def change_scope(spark, d):
+    p = tb.read(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return p.select("page_id", mt.change_scope(F.col("path"), ("www.",), ("m.", "blog.")).alias("scope"))
+
+
+@query(sql.HISTOGRAM)
+def type_histogram(spark, d):
+    return mt.histogram(tb.read(spark, d, "events"), "event_type")
+
+
+@query(sql.GREP)
+def node_grep(spark, d):
+    return mt.grep(tb.nodes(spark, d), "token")
+
+
+@query(sql.SUITE)
+def abstention_suite(spark, d):
+    return mt.abstention_suite(tb.read(spark, d, "conversations").select(F.concat("text", F.lit(" not found")).alias("answer")))
+
+
+@query(sql.ANSWERS)
+def answer_evaluation(spark, d):
+    """Answers and judges that are columns: the context's first words, and its length as a score."""
+    q = tb.questions(spark, d)
+    contexts = q.filter("qid % 3 <> 0").select("qid", F.col("question").alias("context"))
+    rows = mt.evaluate_answers(q, contexts, lambda a, c: F.substring(c, 1, 20), {"faithfulness": lambda a, c, x: F.format_string('{"score": %d}', F.length(a) % 6)})
+    return rows.groupBy("metric").agg(F.round(F.avg("score"), 4).alias("mean"), F.count_if("parse_ok").alias("n"), F.count_if("abstained").alias("n_abstained"))
+
+
 FLAGSHIP = bm25_topk_metrics

@@ -165,3 +165,12 @@ LAST_RECORD = "SELECT conv_id AS request_id, md5(arg_max(text, turn)) AS digest
 SLICES = "SELECT conv_id || '-' || turn AS request_id, greatest((length(text) + 23) // 24, 1) AS n, length(text) AS n_chars FROM conversations WHERE role = 'assistant'"
 WINDOWS = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 CHECKLIST = "SELECT doc_id, source, CAST(n AS INTEGER) AS n FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 20"
+
+BREACHES = f"WITH {_STATS}, {_hits('h', 5)} SELECT qid, count(*) AS n FROM h JOIN documents ON doc_id = node_id WHERE documents.lang <> 'en' GROUP BY qid"
+CORRECTED = "SELECT doc_id, CASE WHEN doc_id % 14 = 0 THEN 'xx' ELSE lang END AS lang, source FROM documents"
+SCOPES = """WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)
+SELECT page_id, CASE WHEN starts_with(path, 'www.') THEN 'all' WHEN starts_with(path, 'm.') OR starts_with(path, 'blog.') THEN 'selected' ELSE 'none' END AS scope FROM p"""
+HISTOGRAM = "SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 4) AS share FROM events GROUP BY 1"
+GREP = "SELECT doc_id AS node_id, replace(substr(text, 1, 120), chr(10), '⏎') AS preview FROM documents WHERE contains(text, 'token') ORDER BY doc_id LIMIT 20"
+SUITE = "SELECT count(*) AS n, count(*) AS n_abstained, true AS passed FROM conversations"
+ANSWERS = "SELECT 'faithfulness' AS metric, round(avg(CASE WHEN item_id % 3 <> 0 THEN least(length(text) % 6, 5) / 5.0 ELSE 0.0 END), 4) AS mean, count(*) AS n, count(*) FILTER (item_id % 3 = 0) AS n_abstained FROM benchmark"
