@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: White space as the tokenizer's pattern has it (fixed values).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A token always starts at a space before something that is no white space.
 _CUT = re.compile(f" (?=[^{WHITE}])")
 _ODD = re.compile(f" [{WHITE}]| \\Z")
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 #: Longest chunk, in characters, that is cached.
 CACHED_CHARS = 64
 LONG_WORD = 256
@@ -206,7 +208,7 @@ def _database():
     import duckdb
 
     # one thread: rows then reach the aggregation in the order of the sort
-    return duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
 
 
 @lru_cache(maxsize=2)
@@ -236,12 +238,13 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
     """``docs`` with ``ids`` (array of int) instead of ``text``."""
     keep = [f for f in docs.schema.fields if f.name not in (text, ids)]
     schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
         for batch in batches:
             column = batch.column(text)
-            for a, b in _slices(_lengths(column), 2_000_000):
+            for a, b in _slices(_lengths(column), 1_000_000):
                 found = own.encode(column.slice(a, b - a).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
@@ -260,6 +263,7 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids", decoded: str = "deco
     """``docs`` with ``decoded`` (binary) of ``ids``."""
     keep = [f for f in docs.schema.fields if f.name != decoded]
     schema = T.StructType([*keep, T.StructField(decoded, T.BinaryType())])
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -268,7 +272,7 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids", decoded: str = "deco
         for batch in batches:
             column = batch.column(ids)
             lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in _slices(lengths, 1_000_000):
+            for a, b in _slices(lengths, 500_000):
                 flat = column.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
                 values = pa.array(own.decode(flat, lengths[a:b]), pa.binary())
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(a, b - a) for f in keep], values], [*[f.name for f in keep], decoded])

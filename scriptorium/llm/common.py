@@ -43,6 +43,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Arrow batches of the session have at most ``rows`` rows: long texts and their ids then fit beside each other."""
+    spark.conf.set(ARROW_ROWS, min(int(spark.conf.get(ARROW_ROWS)), rows))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to hold at most ``rows`` rows; else as it is (shuffled join)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
