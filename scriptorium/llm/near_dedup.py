@@ -77,13 +77,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
 def needed(n: int, threshold: float, k: int = K, shared: int = SHARED) -> int:
     """Keys that a set of ``n`` shingles shares, at least, with any similar set.
 
-    While the union has up to k values the bound is exact: a value that the other set lacks breaks
-    two neighbourhoods, one that only the other set has breaks one, and most break if the other is
-    a subset.
+    While the union has up to k values the bound is exact: each of d1 values that the other set
+    lacks breaks two neighbourhoods, each of d2 that only the other set has breaks one.  It is
+    positive from a threshold of 0.85 on; where it isn't, a set uses all its keys.
     """
     if floor(n / threshold + 1e-9) > k:
         return shared
-    return max(1, n - 1 - 2 * floor((1 - threshold) * n + 1e-9))
+    broken = 0
+    for d1 in range(floor((1 - threshold) * n + 1e-9) + 1):
+        d2 = floor((n - d1) / threshold - n + 1e-9)
+        broken = max(broken, 2 * d1 + d2)
+    return max(1, n - 1 - broken)
 
 
 def keyed(sets: DataFrame, threshold: float, k: int = K) -> DataFrame:

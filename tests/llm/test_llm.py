@@ -225,6 +225,28 @@ def test_needed():
         assert 1 <= near_dedup.needed(n, 0.85) <= max(1, n - 1)
 
 
+def test_needed_is_exact():
+    for n in range(2, 42):
+        broken = max(2 * d1 + d2 for d1 in range(n) for d2 in range(n) if 100 * (n - d1) >= 85 * (n + d2))
+        assert near_dedup.needed(n, 0.85) == n - 1 - broken
+
+
+def test_near_duplicates_short_pairs(spark):
+    """Lone pairs of short texts: a word appended, taken from the end, or replaced at it."""
+    rows = []
+    for g, n in enumerate([10, 17, 23, 30, 37, 43] * 4 + [11, 18, 24, 31, 38, 44]):
+        w = [f"g{g}x{i}" for i in range(n)]
+        rows += [(6 * g, w), (6 * g + 1, [*w, "more"])]
+        v = [f"h{g}x{i}" for i in range(n)]
+        rows += [(6 * g + 2, v), (6 * g + 3, [*v[:-1], "other"])]
+        u = [f"k{g}x{i}" for i in range(n)]
+        rows += [(6 * g + 4, u), (6 * g + 5, [*u[:-1], "x", "y"])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_near(rows)
+    assert got == want and sum(not kept for *_, kept in want.values()) > 40
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9), (3, 7)] + [(i, i + 1) for i in range(100, 130)]
     got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
