@@ -323,6 +323,21 @@ def test_passages(docs, monkeypatch, long_list):
     assert substring_dedup.near_passages(empty(docs)).count() == 0
 
 
+def test_passages_at_every_place(spark):
+    """A passage that stands twice in a text, and one after a fragment of it: all its copies are found."""
+    rows = []
+    for g in range(12):
+        p = [f"p{g}x{i}" for i in range(64)]
+        rows += [(10 * g, [f"a{g}", *p]), (10 * g + 1, [*p, *prose(20, g).split(), *p, f"b{g}"])]
+        q = [f"q{g}x{i}" for i in range(51)]
+        rows += [(10 * g + 2, [*prose(15, 50 + g).split(), *q]), (10 * g + 3, [*q[:44], *prose(30, 90 + g).split(), *q])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: {(p["start"], p["end"]) for p in r["passages"]} for r in substring_dedup.near_passages(docs).collect()}
+    for g in range(12):
+        assert got.get(10 * g) == {(1, 65)} and got.get(10 * g + 1) == {(0, 64), (84, 148)}
+        assert {(15, 66)} <= got.get(10 * g + 2, set()) and {(74, 125)} <= got.get(10 * g + 3, set())
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
