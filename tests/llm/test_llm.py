@@ -338,6 +338,18 @@ def test_passages_at_every_place(spark):
         assert {(15, 66)} <= got.get(10 * g + 2, set()) and {(74, 125)} <= got.get(10 * g + 3, set())
 
 
+def test_similar_places():
+    """Places whose passages differ by a word in the middle pass the comparison of blocks, as all do that verification accepts."""
+    r, width, reach = np.random.default_rng(3), 46, 45
+    base = r.integers(0, 2**62, 91)
+    gap = np.concatenate([base[:40], r.integers(0, 2**62, 6), base[45:90]])  # 5 shingles go, 6 come: a word inserted
+    other = r.integers(0, 2**62, 91)
+    v = np.stack([base, gap, other])
+    ids, c, k = np.arange(3), np.array([reach] * 3), np.arange(3)
+    got = set(zip(*[x.tolist() for x in substring_dedup.similar_places([ids, c, k, v], [ids, c, k, v], width, 0.8)], strict=True))
+    assert got == {(0, 1, reach, reach)}
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
