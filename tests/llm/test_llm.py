@@ -350,6 +350,25 @@ def test_similar_places():
     assert got == {(0, 1, reach, reach)}
 
 
+@pytest.mark.parametrize("long_list", [64, 2])
+def test_passages_of_one_class(spark, monkeypatch, long_list):
+    """Texts that are in one class by boilerplate are still compared on another passage, which the smallest id holds a part of only."""
+    monkeypatch.setattr(substring_dedup, "LONG_LIST", long_list)
+    rows, want = [], {}
+    for g in range(8):
+        boiler, p = [f"c{g}x{i}" for i in range(60)], [f"p{g}x{i}" for i in range(52)]
+        n = 100 * g
+        rows += [(n, [*boiler, f"o{g}"]), (n + 1, [f"f{g}", *p[:38], *prose(10, g).split()])]
+        for k in range(2, 6):
+            rows.append((n + k, [f"b{g}k{k}", *boiler, f"m{g}k{k}", *p, f"e{g}k{k}"]))
+            want[n + k] = {(1, 61), (62, 114)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring_dedup.near_passages(docs).collect()}
+    assert {i: {(p["start"], p["end"]) for p in got[i]["passages"]} for i in want} == want
+    # the class: the boilerplate's five texts
+    assert all(got[i]["class_id"] == i // 100 * 100 and got[i]["n_links"] == 4 for i in want)
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
