@@ -108,6 +108,21 @@ def test_adaptive_thresholds(spark):
     assert not kept.pop(999) and all(kept.values())
 
 
+def test_each_adaptive_rule_binds(spark):
+    """Documents that the base rule lets pass: what each ratio alone removes, and what stays beside it."""
+    w = prose(60, 7).split()
+    lines = lambda k, same: "\n".join(prose(6, 7000 + i) + ("\nw17 w170" if i < same else "") for i in range(k))
+    odd = {900: " ".join(["##" + x for x in w[:4]] + w[4:]), 901: " ".join(x * 3 for x in w), 902: lines(20, 15), 903: " ".join(w + w[:8])}
+    sound = {950: " ".join(["#" + w[0], *w[1:]]), 951: lines(38, 2)}
+    rows = [(i, prose(60, i), "en", "s") for i in range(300)] + [(i, t, "en", "s") for i, t in (odd | sound).items()]
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "doc_id").collect()}
+    broken = lambda r: {x for x in quality_rules.RATIOS if r[x] > r[f"max_{x}"]}
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in odd)
+    assert broken(got[900]) == {"symbol_ratio"} and broken(got[901]) == {"word_length"} and broken(got[903]) == {"repeat_ratio"}
+    assert broken(got[902]) == {"dup_line_ratio"}
+    assert all(r["kept"] for i, r in got.items() if i not in odd)
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
