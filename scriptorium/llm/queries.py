@@ -75,7 +75,7 @@ FROM parsed p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = substring_dedup.near_passages(documents(spark, sf_dir).select("doc_id", "text"))
+    df = substring_dedup.near_passages(documents(spark, sf_dir).select("doc_id", "text"), every=True)
     return df.select("doc_id", "class_id", "n_links", F.to_json("passages").alias("passages"))
 
 

@@ -384,6 +384,16 @@ def test_passages_of_one_class(spark, monkeypatch, long_list):
     assert all(got[i]["class_id"] == i // 100 * 100 and got[i]["n_links"] == 4 for i in want)
 
 
+def test_passages_of_every_document(spark, tmp_path):
+    from scriptorium.llm import queries
+
+    p = prose(60, 1)
+    rows = [(0, p + " a"), (1, "b " + p), (2, prose(80, 2)), (3, "short"), (4, "short"), (5, None), (None, "c " + p)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["doc_id"], r["class_id"], r["n_links"], r["passages"] != "[]") for r in queries.op6_substring_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(0, 0, 1, True), (1, 0, 1, True), *[(i, i, 0, False) for i in (2, 3, 4, 5)], (None, None, 0, False)], key=str)
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
