@@ -394,6 +394,16 @@ def test_passages_of_every_document(spark, tmp_path):
     assert sorted(got, key=str) == sorted([(0, 0, 1, True), (1, 0, 1, True), *[(i, i, 0, False) for i in (2, 3, 4, 5)], (None, None, 0, False)], key=str)
 
 
+def test_passages_with_a_word_replaced(spark):
+    """Passages of 50 words that differ in one in the middle (41/51) are found, all of 300."""
+    rows = []
+    for g in range(300):
+        p = [f"p{g}x{i}" for i in range(50)]
+        rows += [(2 * g, [*prose(9, g).split(), *p]), (2 * g + 1, [*p[:25], "new", *p[26:], *prose(9, 900 + g).split()])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {r["doc_id"] for r in substring_dedup.near_passages(docs).collect()} == {i for i, _ in rows}
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
