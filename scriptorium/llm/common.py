@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,35 +18,73 @@ BROADCAST_ROWS = 20_000
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a folder of our own only where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    In local mode, where all tasks share the driver's disk, a folder of our own stands in for an
+    unset one; on a cluster that is an error, as executors would write to disks of their own.
+    """
     name = spark.conf.get("spark.checkpoint.dir", None)
     if not name:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         name = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", name)
     return name.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, *, rows: int = 1000, up: int = 0) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     The lineage is cut, a lost executor costs nothing that was written, and a later join
-    sees a plain scan, so that adaptive execution can split its skewed partitions.
+    sees a plain scan, so that adaptive execution can split its skewed partitions.  Arrow batches
+    have at most ``rows`` rows meanwhile, so that long texts fit beside each other.  The table
+    belongs to the open :func:`scratch`, or to the one ``up`` levels further out.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with arrow_rows(spark, rows):
+        df.write.parquet(path)
+    if len(_open) > up:
+        _open[-1 - up].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, Arrow batches of the session have at most ``rows`` rows."""
     before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, min(int(before), 1000))  # long texts: smaller batches in the workers
+    spark.conf.set(ARROW_ROWS, min(int(before), rows))
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(ARROW_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`materialize` writes within are deleted at the end, but for those it writes for further out."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        release(spark, made)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of the shared store."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """From now on Arrow batches of the session have at most ``rows`` rows: long texts and their ids then fit beside each other."""
+    """From now on Arrow batches of the session have at most ``rows`` rows: for operators that are evaluated later."""
     spark.conf.set(ARROW_ROWS, min(int(spark.conf.get(ARROW_ROWS)), rows))
 
 

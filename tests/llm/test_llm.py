@@ -223,9 +223,8 @@ def brute_near(rows):
     return {i: (len(sets[i]), c[i], c[i] == i) for i in ids}
 
 
-@pytest.mark.parametrize(("long_list", "block"), [(64, 1024), (3, 4)])
-def test_near_duplicates(docs, monkeypatch, long_list, block):
-    monkeypatch.setattr(near_dedup, "LONG_LIST", long_list)
+@pytest.mark.parametrize("block", [256, 4])
+def test_near_duplicates(docs, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()}
     assert got == brute_near(corpus())
@@ -262,6 +261,36 @@ def test_near_duplicates_short_pairs(spark):
     assert got == want and sum(not kept for *_, kept in want.values()) > 40
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_near_duplicates_of_large_groups(spark, monkeypatch, block):
+    """Groups of near copies around the threshold, and many texts that share most of their words and no more."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r, rows = random.Random(8), []
+    for g in range(3):
+        base = [f"g{g}x{i}" for i in range(160)]
+        for _ in range(130):
+            copy = base[:]
+            for _ in range(r.randrange(0, 6)):
+                copy[r.randrange(len(copy))] = f"n{r.randrange(10**9)}"
+            rows.append(copy)
+    frequent = [f"f{i}" for i in range(90)]
+    rows += [[*frequent, *[f"o{k}x{i}" for i in range(r.randrange(30, 60))]] for k in range(150)]
+    r.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_near(rows)
+
+
+def test_shared_keys():
+    """The bound of shared neighbours against all outcomes of a small number of values."""
+    k, p, miss = 10, 0.85, 1e-3
+    chance = Counter()
+    for x in range(1 << k):
+        chance[bin(x & x >> 1).count("1")] += p ** x.bit_count() * (1 - p) ** (k - x.bit_count())
+    n = near_dedup.shared_keys(k, p, miss)
+    assert sum(v for c, v in chance.items() if c < n) <= miss < sum(v for c, v in chance.items() if c <= n)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (9, 9), (3, 7)] + [(i, i + 1) for i in range(100, 130)]
     got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
