@@ -288,10 +288,12 @@ def _set_of(column: pa.Array, words: int) -> np.ndarray:
 
 
 def mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, c, m): lists of m sets in different components c."""
+    """(key, id, c, m): lists of m sets in different components c; of lists with the same sets, one."""
     rows = lists.select("key", "id").join(labels.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     rows = materialize(rows, "near-rows")
-    keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("key", "m")
+    sums = [F.sum(F.xxhash64("id", F.lit(seed)).cast("decimal(20,0)")).alias(f"sum{seed}") for seed in (1, 2)]
+    keys = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), *sums).filter("c0 < c1")
+    keys = keys.groupBy("m", "sum1", "sum2").agg(F.min("key").alias("key")).select("key", "m")
     return materialize(rows.join(materialize(keys, "near-mixed"), "key"), "near-open")
 
 
