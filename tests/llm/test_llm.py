@@ -349,9 +349,9 @@ def test_compact_windows():
     assert got == want
 
 
-@pytest.mark.parametrize("long_list", [64, 2])
-def test_passages(docs, monkeypatch, long_list):
-    monkeypatch.setattr(substring_dedup, "LONG_LIST", long_list)
+@pytest.mark.parametrize("block", [256, 3])
+def test_passages(docs, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
     got = {r["doc_id"]: r for r in substring_dedup.near_passages(docs).collect()}
     where: dict = {}
     for i, t in corpus():
@@ -382,22 +382,92 @@ def test_passages_at_every_place(spark):
         assert {(15, 66)} <= got.get(10 * g + 2, set()) and {(74, 125)} <= got.get(10 * g + 3, set())
 
 
-def test_similar_places():
-    """Places whose passages differ by a word in the middle pass the comparison of blocks, as all do that verification accepts."""
-    r, width, reach = np.random.default_rng(3), 46, 45
-    base = r.integers(0, 2**62, 91)
-    gap = np.concatenate([base[:40], r.integers(0, 2**62, 6), base[45:90]])  # 5 shingles go, 6 come: a word inserted
-    other = r.integers(0, 2**62, 91)
-    v = np.stack([base, gap, other])
-    ids, c, k = np.arange(3), np.array([reach] * 3), np.arange(3)
-    got = set(zip(*[x.tolist() for x in substring_dedup.similar_places([ids, c, k, v], [ids, c, k, v], width, 0.8)], strict=True))
-    assert got == {(0, 1, reach, reach)}
+def test_meet():
+    """Cells whose passages differ by a word in the middle are verified; cells that share a frequent line are not."""
+    r, width = np.random.default_rng(3), 46
+    base = r.integers(0, 2**62, 136)
+    gap = np.concatenate([base[:60], r.integers(0, 2**62, 6), base[65:135]])  # 5 shingles go, 6 come: a word inserted
+    line = np.concatenate([r.integers(0, 2**62, 40), base[60:90], r.integers(0, 2**62, 66)])
+    near, ids, low = [base, gap, line], np.array([7, 3, 5]), np.array([0, 10, 20])
+    found = substring_dedup.meet(int(base[70]), ids, low, near, [[], [], []], None, width, 0.8)
+    assert {x[:2] for x in found} == {(3, 7)}
+    assert min(x[4] for x in found) == 0 and max(x[5] for x in found) >= 135
+    both = substring_dedup.meet(int(base[70]), ids, low, near, [[], [], []], np.array([False, True, True]), width, 0.8)
+    assert {x[:2] for x in both} == {(3, 7)}
+    assert not substring_dedup.meet(int(base[70]), ids, low, near, [[(0, 200)]] * 3, None, width, 0.8)
 
 
-@pytest.mark.parametrize("long_list", [64, 2])
-def test_passages_of_one_class(spark, monkeypatch, long_list):
+def test_overlaps():
+    r = random.Random(2)
+    for _ in range(50):
+        one, two = ([(x, x + r.randrange(1, 5)) for x in sorted(r.sample(range(0, 200, 6), 12))] for _ in range(2))
+        (a0, a1), (b0, b1) = (np.array(x).T for x in (one, two))
+        got = set(zip(*[x.tolist() for x in substring_dedup.overlaps(a0, a1, b0, b1)], strict=True))
+        assert got == {(i, j) for i, x in enumerate(one) for j, y in enumerate(two) if x[0] <= y[1] and y[0] <= x[1]}
+
+
+def test_whole():
+    import pyarrow as pa
+
+    ids = [1, 1, 2, 3, 3, 3, 3, 4, 5, 5, 6]
+    for size in (1, 2, 3, 5, 20):
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[k : k + size])], ["id"]) for k in range(0, len(ids), size)]
+        parts = [b.column("id").to_pylist() for b in substring_dedup.whole(iter(batches))]
+        assert sum(parts, []) == ids and all(x[-1] != y[0] for x, y in zip(parts, parts[1:], strict=False))
+
+
+def brute_similar(x, y, width=46, similarity=0.8):
+    """Places of x in passages of y: windows of ``width`` on any diagonal."""
+    found = set()
+    for i in range(len(x) - width + 1):
+        a = set(x[i : i + width])
+        for j in range(len(y) - width + 1):
+            b = set(y[j : j + width])
+            if len(a & b) >= similarity * len(a | b) - 1e-9:
+                found |= set(range(i, i + width))
+    return found
+
+
+@pytest.mark.parametrize("block", [256, 8])
+def test_passages_edited(spark, monkeypatch, block):
+    """Recall on passages with words inserted, deleted and replaced, in small and in large groups, beside a frequent line: against brute force."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    r, rows, number = random.Random(4), [], 0
+    line = [f"line{i}" for i in range(30)]
+    for g, size in enumerate([2, 2, 2, 3, 4, 40]):
+        p = [f"p{g}x{i}" for i in range(62)]
+        for _ in range(size):
+            copy = p[:]
+            at = r.randrange(5, 55)
+            kind = r.choice("idr-")
+            copy[at : at + (kind in "dr")] = ["new"] * (kind in "ir")
+            own = lambda n: [f"o{number}x{r.randrange(10**9)}" for _ in range(n)]  # noqa: E731, B023
+            rows.append((number, [*own(20), *line, *own(10), *copy, *own(15)]))
+            number += 1
+    rows += [(number + k, [*[f"q{k}x{i}" for i in range(40)], *line, *[f"r{k}x{i}" for i in range(30)]]) for k in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in substring_dedup.near_passages(docs).collect()}
+    sh = {i: [tuple(w[j : j + 5]) for j in range(len(w) - 4)] for i, w in rows[:number]}
+    assert set(got) == set(sh)  # each of these has an edited copy at 0.8 or more, and only these
+    starts, want, hit, core, core_hit = 0, 0, 0, 0, 0
+    for size in [2, 2, 2, 3, 4, 40]:
+        ids = range(starts, starts + size)
+        starts += size
+        assert {got[i]["class_id"] for i in ids} == {ids[0]}
+        for i in list(ids)[:4]:
+            places = set().union(*[brute_similar(sh[i], sh[k]) for k in list(ids)[:6] if k != i])
+            mine = {w for s in got[i]["passages"] for w in range(s["start"], s["end"] - 4)}
+            want += len(places)
+            hit += len(places & mine)
+            assert all(s["start"] >= 50 and s["end"] <= 60 + 63 + 10 for s in got[i]["passages"])
+    # the rest are places without a shared shingle, at the ends of windows on other diagonals
+    assert core_hit >= 0.99 * core and hit >= 0.95 * want, (core_hit, core, hit, want)
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_passages_of_one_class(spark, monkeypatch, block):
     """Texts that are in one class by boilerplate are still compared on another passage, which the smallest id holds a part of only."""
-    monkeypatch.setattr(substring_dedup, "LONG_LIST", long_list)
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
     rows, want = [], {}
     for g in range(8):
         boiler, p = [f"c{g}x{i}" for i in range(60)], [f"p{g}x{i}" for i in range(52)]
@@ -413,6 +483,19 @@ def test_passages_of_one_class(spark, monkeypatch, long_list):
     assert all(got[i]["class_id"] == i // 100 * 100 and got[i]["n_links"] == 4 for i in want)
 
 
+def test_passages_of_odd_tables(spark):
+    """Repeated rows, rows of one id with different texts, columns of clashing names, null ids."""
+    p = prose(60, 1)
+    one, two = p + " a", prose(70, 5)
+    kept, other = sorted([one, two], key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    rows = [(0, one, 1, 2), (0, one, 1, 2), (1, "b " + p, 1, 2), (2, one, 1, 2), (2, two, 1, 2), (3, kept + " x", 1, 2), (4, other + " y", 1, 2), (None, p, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, passages int")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in substring_dedup.near_passages(docs).collect()}
+    every = {r["doc_id"] for r in substring_dedup.near_passages(docs, every=True).collect()}
+    assert every == {None, 0, 1, 2, 3, 4} and got[0][0] == got[1][0] == 0
+    assert (2 in got) and ((got[2][0] == 0) == (kept == one))
+
+
 def test_passages_of_every_document(spark, tmp_path):
     from scriptorium.llm import queries
 
