@@ -388,13 +388,24 @@ def test_meet():
     base = r.integers(0, 2**62, 136)
     gap = np.concatenate([base[:60], r.integers(0, 2**62, 6), base[65:135]])  # 5 shingles go, 6 come: a word inserted
     line = np.concatenate([r.integers(0, 2**62, 40), base[60:90], r.integers(0, 2**62, 66)])
-    near, ids, low = [base, gap, line], np.array([7, 3, 5]), np.array([0, 10, 20])
-    found = substring_dedup.meet(int(base[70]), ids, low, near, [[], [], []], None, width, 0.8)
+    near, ids, low, at = [base, gap, line], np.array([7, 3, 5]), np.array([0, 10, 20]), [np.array([70]), np.array([80]), np.array([70])]
+    found = substring_dedup.meet(ids, low, near, at, None, width, 0.8)
     assert {x[:2] for x in found} == {(3, 7)}
     assert min(x[4] for x in found) == 0 and max(x[5] for x in found) >= 135
-    both = substring_dedup.meet(int(base[70]), ids, low, near, [[], [], []], np.array([False, True, True]), width, 0.8)
-    assert {x[:2] for x in both} == {(3, 7)}
-    assert not substring_dedup.meet(int(base[70]), ids, low, near, [[(0, 200)]] * 3, None, width, 0.8)
+    assert {x[:2] for x in substring_dedup.meet(ids, low, near, at, np.array([False, True, True]), width, 0.8)} == {(3, 7)}
+    assert not substring_dedup.meet(ids, low, near, [np.empty(0, np.int64)] * 3, None, width, 0.8)
+
+
+def test_similar_starts():
+    r, w = np.random.default_rng(9), 12
+    for kinds in (6, 40, 10**9):
+        for _ in range(40):
+            x = r.integers(0, kinds, 60)
+            y = np.delete(np.where(r.random(60) < 0.06, -1 - np.arange(60), x), r.integers(0, 60, 2))
+            shift = int(r.integers(-2, 3))
+            first, last = max(0, shift), min(len(x), len(y) + shift) - w
+            want = [s for s in range(first, last + 1) if (a := set(x[s : s + w].tolist())) and (b := set(y[s - shift : s - shift + w].tolist())) and len(a & b) >= 0.8 * len(a | b) - 1e-9]
+            assert substring_dedup.similar_starts(x, y, shift, first, last, w, 0.8) == want
 
 
 def test_overlaps():
@@ -432,6 +443,7 @@ def brute_similar(x, y, width=46, similarity=0.8):
 def test_passages_edited(spark, monkeypatch, block):
     """Recall on passages with words inserted, deleted and replaced, in small and in large groups, beside a frequent line: against brute force."""
     monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    monkeypatch.setattr(substring_dedup, "LONG_LIST", block // 4)
     r, rows, number = random.Random(4), [], 0
     line = [f"line{i}" for i in range(30)]
     for g, size in enumerate([2, 2, 2, 3, 4, 40]):
