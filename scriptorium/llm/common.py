@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,7 +51,17 @@ def materialize(df: DataFrame, name: str, *, rows: int = 1000, up: int = 0) -> D
         df.write.parquet(path)
     if len(_open) > up:
         _open[-1 - up].append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that are needed no more, and shuffle files of plans that ended."""
+    spark = tables[0].sparkSession
+    release(spark, [t.stored_at for t in tables])
+    gc.collect()
+    spark._jvm.System.gc()  # Spark drops shuffle files with the objects that stand for them
 
 
 @contextmanager

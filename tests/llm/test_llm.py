@@ -408,6 +408,19 @@ def test_similar_starts():
             assert substring_dedup.similar_starts(x, y, shift, first, last, w, 0.8) == want
 
 
+def test_regions_and_leasts():
+    r = np.random.default_rng(6)
+    for _ in range(30):
+        size = int(r.integers(50, 300))
+        places = np.unique(r.integers(0, size, 8))
+        want = {k for p in places for k in range(max(0, p - 20), min(size, p + 21))}
+        low, high = substring_dedup.regions(places, size, 20)
+        assert [k for a, b in zip(low, high, strict=True) for k in range(a, b)] == sorted(want)
+    values, begins = r.integers(0, 2**63, 90, dtype=np.uint64) << np.uint64(1), np.array([0, 50, 55, 90])
+    want = {int(a + s + np.argmin(values[a + s : a + s + 12])) for a, b in zip(begins[:-1], begins[1:], strict=True) for s in range(b - a - 11)}
+    assert set(substring_dedup.leasts(values, begins, 12).tolist()) == want
+
+
 def test_overlaps():
     r = random.Random(2)
     for _ in range(50):
