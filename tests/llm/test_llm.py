@@ -389,11 +389,30 @@ def test_meet():
     gap = np.concatenate([base[:60], r.integers(0, 2**62, 6), base[65:135]])  # 5 shingles go, 6 come: a word inserted
     line = np.concatenate([r.integers(0, 2**62, 40), base[60:90], r.integers(0, 2**62, 66)])
     near, ids, low, at = [base, gap, line], np.array([7, 3, 5]), np.array([0, 10, 20]), [np.array([70]), np.array([80]), np.array([70])]
-    found = substring_dedup.meet(ids, low, near, at, None, width, 0.8)
+    c, keys = np.array([3, 3, 3]), [np.array([4, 9]), np.array([6, 9]), np.array([4, 6, 9])]
+    found = substring_dedup.meet(ids, c, low, near, at, keys, 9, None, width, 0.8)
     assert {x[:2] for x in found} == {(3, 7)}
     assert min(x[4] for x in found) == 0 and max(x[5] for x in found) >= 135
-    assert {x[:2] for x in substring_dedup.meet(ids, low, near, at, np.array([False, True, True]), width, 0.8)} == {(3, 7)}
-    assert not substring_dedup.meet(ids, low, near, [np.empty(0, np.int64)] * 3, None, width, 0.8)
+    assert {x[:2] for x in substring_dedup.meet(ids, c, low, near, at, keys, 9, np.array([False, True, True]), width, 0.8)} == {(3, 7)}
+    none = [np.empty(0, np.int64)] * 3
+    assert not substring_dedup.meet(ids, c, low, near, none, keys, 9, None, width, 0.8)
+    # closed places, different classes; and a lesser key in common
+    assert substring_dedup.meet(ids, np.array([3, 4, 3]), low, near, none, keys, 9, None, width, 0.8)
+    assert not substring_dedup.meet(ids, c, low, near, at, [np.array([1, 9])] * 3, 9, None, width, 0.8)
+
+
+def test_similar_runs():
+    """The passages of distinct values, against windows compared one by one."""
+    r, w = np.random.default_rng(2), 12
+    for _ in range(60):
+        x = r.permutation(200)[:70]
+        y = np.delete(np.where(r.random(70) < 0.05, 1000 + np.arange(70), x), r.integers(0, 70, 2))
+        i, j = np.nonzero(x[:, None] == y[None, :])
+        got = {(s, t) for a, b, u, v in substring_dedup.similar_runs(i, j, len(x), len(y), w, 0.8) for s, t in zip(range(a, b), range(u, v), strict=True)}
+        shifts = set((i - j).tolist())
+        windows = [(s, t) for s in range(len(x) - w + 1) for t in range(len(y) - w + 1) if s - t in shifts and len(a := set(x[s : s + w].tolist())) and len(a & set(y[t : t + w].tolist())) / len(a | set(y[t : t + w].tolist())) >= 0.8]
+        assert got >= {(s + k, t + k) for s, t in windows for k in range(w)}
+        assert {s for s, _ in got} == {s + k for s, _ in windows for k in range(w)}
 
 
 def test_similar_starts():
