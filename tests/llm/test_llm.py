@@ -409,10 +409,16 @@ def test_similar_runs():
         y = np.delete(np.where(r.random(70) < 0.05, 1000 + np.arange(70), x), r.integers(0, 70, 2))
         i, j = np.nonzero(x[:, None] == y[None, :])
         got = {(s, t) for a, b, u, v in substring_dedup.similar_runs(i, j, len(x), len(y), w, 0.8) for s, t in zip(range(a, b), range(u, v), strict=True)}
-        shifts = set((i - j).tolist())
-        windows = [(s, t) for s in range(len(x) - w + 1) for t in range(len(y) - w + 1) if s - t in shifts and len(a := set(x[s : s + w].tolist())) and len(a & set(y[t : t + w].tolist())) / len(a | set(y[t : t + w].tolist())) >= 0.8]
-        assert got >= {(s + k, t + k) for s, t in windows for k in range(w)}
-        assert {s for s, _ in got} == {s + k for s, _ in windows for k in range(w)}
+        similar = lambda s, t: len((a := set(x[s : s + w].tolist())) & (b := set(y[t : t + w].tolist()))) >= 0.8 * len(a | b) - 1e-9
+        want = set()
+        for d in set((i - j).tolist()):
+            same = [k for k in range(len(x)) if 0 <= k - d < len(y) and x[k] == y[k - d]]
+            exact = {k for k in same if any(all(m in same for m in range(s, s + w)) for s in range(k - w + 1, k + 1))}
+            want |= {(k, k - d) for k in exact}
+            for s in range(max(0, d), min(len(x), len(y) + d) - w + 1):
+                if set(range(s, s + w)) & (set(same) - exact) and similar(s, s - d):
+                    want |= {(k, k - d) for k in range(s, s + w)}
+        assert got == want
 
 
 def test_similar_starts():
