@@ -421,6 +421,20 @@ def test_similar_runs():
         assert got == want
 
 
+def test_similar_windows():
+    """Passages of sequences with repeated values, against windows compared one by one."""
+    r, w = np.random.default_rng(7), 10
+    for kinds in (1, 3, 30):
+        for _ in range(20):
+            x, y = (r.integers(0, kinds, 40) for _ in range(2))
+            y[5:30] = x[8:33]
+            y[17] = 99
+            ok = {(s, t) for s in range(31) for t in range(31) if len((a := set(x[s : s + w].tolist())) & (b := set(y[t : t + w].tolist()))) >= 0.8 * len(a | b) - 1e-9}
+            found = substring_dedup.similar_windows(substring_dedup.window_sets(x, w), substring_dedup.window_sets(y, w), w, 0.8)
+            assert {k for s, e, _, _ in found for k in range(s, e)} == {s + k for s, _ in ok for k in range(w)}
+            assert {k for _, _, s, e in found for k in range(s, e)} == {t + k for _, t in ok for k in range(w)}
+
+
 def test_similar_starts():
     r, w = np.random.default_rng(9), 12
     for kinds in (6, 40, 10**9):
