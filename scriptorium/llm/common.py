@@ -20,6 +20,9 @@ BROADCAST_ROWS = 20_000
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _open: list[list[str]] = []
+#: Tables after which shuffle files of plans that ended are dropped.
+TIDY_EVERY = 6
+_written = 0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +48,7 @@ def materialize(df: DataFrame, name: str, *, rows: int = 1000, up: int = 0) -> D
     have at most ``rows`` rows meanwhile, so that long texts fit beside each other.  The table
     belongs to the open :func:`scratch`, or to the one ``up`` levels further out.
     """
+    global _written
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with arrow_rows(spark, rows):
@@ -53,15 +57,23 @@ def materialize(df: DataFrame, name: str, *, rows: int = 1000, up: int = 0) -> D
         _open[-1 - up].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _written += 1
+    if _written % TIDY_EVERY == 0:
+        tidy(spark)
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of plans that ended: it does so when the objects that stand for them are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of :func:`materialize` that are needed no more, and shuffle files of plans that ended."""
     spark = tables[0].sparkSession
     release(spark, [t.stored_at for t in tables])
-    gc.collect()
-    spark._jvm.System.gc()  # Spark drops shuffle files with the objects that stand for them
+    tidy(spark)
 
 
 @contextmanager

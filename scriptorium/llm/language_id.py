@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: Most training texts of a language, most languages, and most learned centroids of each.
-PER_LANGUAGE, LANGUAGES, CENTROIDS = 400, 200, 4
+#: Learned from at most so many texts of a language, and so many in all, shared out evenly (one of each at least).
+#: Learned from so many texts of a language, and so many in all, shared out evenly (one of each language at least).
+PER_LANGUAGE, ROWS, CENTROIDS = 400, 10_000, 4
 DIMENSIONS = 1 << 12
 GRAMS = (1, 2, 3)
 UNKNOWN = "und"
@@ -115,10 +116,12 @@ def fit(docs: DataFrame, usable: Column | None = None, *, id: str = "doc_id", te
     if usable is not None:
         rows = rows.filter(usable)
     rows = rows.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
-    most = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).select("l")
-    hashes = rows.select("l", "h").distinct().join(F.broadcast(most), "l")
-    chosen = hashes.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h"))).filter(F.col("r") <= per_language).select("l", "h")
-    chosen = chosen.limit(per_language * LANGUAGES)
+    sizes = rows.groupBy("l").count().withColumn("all", F.count("*").over(W.partitionBy()))  # a row per language
+    most = F.greatest(F.lit(1), F.least(F.lit(per_language), F.floor(F.lit(ROWS) / F.col("all")))).cast("int")
+    # a hash range with twice the texts wanted: a frequent language is never ranked as a whole
+    part = F.pmod("h", F.lit(1 << 40)) * F.col("count") < F.lit(2 << 40).cast("double") * F.col("most")
+    hashes = rows.select("l", "h").join(F.broadcast(sizes.select("l", "count", most.alias("most"))), "l").filter(part).distinct()
+    chosen = hashes.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))).filter(F.col("r") <= F.col("most")).select("l", "h")
     texts = rows.join(F.broadcast(chosen), ["l", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,8 +36,9 @@ def path_of(url: Column) -> Column:
 
 def rule_table(spark, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
     """Rules (host, path, verdict) as a table with the digest of host and path."""
-    df = spark.createDataFrame(list(rules), "rule_host string, rule_path string, rule_verdict string")
-    return with_digest(df)
+    names = ("rule_host", "rule_path", "rule_verdict")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule, strict=True)]) for rule in rules]
+    return with_digest(spark.range(1).select(F.inline(F.array(*rows).cast("array<struct<rule_host:string,rule_path:string,rule_verdict:string>>"))))
 
 
 def with_digest(rules: DataFrame) -> DataFrame:
