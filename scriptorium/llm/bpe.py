@@ -165,9 +165,13 @@ class Encoder:
                     new.update((" " if i else "") + c for i, (c, x) in enumerate(zip(chunks, ids, strict=True)) if x is None)
             found.append(ids)
         parts = {c: self.pattern.findall(c) for c in new}
-        self._encode_words(list({w for words in parts.values() for w in words if w not in self.words}))
+        spaced = self.spaced
+
+        def get(w: str) -> bytes | None:
+            return self.words.get(w) or (spaced.get(w[1:]) if w[0] == " " else None)
+
+        self._encode_words(list({w for words in parts.values() for w in words if not get(w)}))
         beyond: dict[str, bytes] = {}
-        get = self.words.__getitem__
         for c, words in parts.items():
             ids = b"".join(map(get, words))
             beyond[c] = ids
@@ -176,6 +180,9 @@ class Encoder:
                     self.spaced[c[1:]] = ids
                 else:
                     self.first[c] = ids
+        for c, words in parts.items():  # kept once
+            if len(words) == 1 and c[:1] == " " and len(c) <= CACHED_CHARS:
+                self.words.pop(c, None)
         for chunks, ids in zip(cut, found, strict=True):
             if None in ids:
                 ids[:] = [beyond[(" " if i else "") + c] if x is None else x for i, (c, x) in enumerate(zip(chunks, ids, strict=True))]
@@ -249,6 +256,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(a, b - a) for f in keep], values], [*[f.name for f in keep], ids])
+        pa.default_memory_pool().release_unused()  # workers live on
 
     return docs.select(*[f.name for f in keep], text).mapInArrow(run, schema)
 
@@ -276,5 +284,6 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids", decoded: str = "deco
                 flat = column.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
                 values = pa.array(own.decode(flat, lengths[a:b]), pa.binary())
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(a, b - a) for f in keep], values], [*[f.name for f in keep], decoded])
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*[f.name for f in keep]).mapInArrow(run, schema)

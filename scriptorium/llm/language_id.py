@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: Learned from at most so many texts of a language, and so many in all, shared out evenly (one of each at least).
 #: Learned from so many texts of a language, and so many in all, shared out evenly (one of each language at least).
 PER_LANGUAGE, ROWS, CENTROIDS = 400, 10_000, 4
 DIMENSIONS = 1 << 12
