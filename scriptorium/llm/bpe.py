@@ -112,6 +112,12 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the caches and gives their memory back."""
+        for cache in (self.words, self.first, self.spaced):
+            cache.clear()
+        give_back()
+
     def _encode_words(self, words: list[str]) -> None:
         """Puts the ids of each word, as int32 bytes, into ``self.words``."""
         short, long, size = [], [], 0
@@ -241,8 +247,20 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with ``ids`` (array of int) instead of ``text``."""
+def give_back() -> None:
+    """Free memory of this process goes back to the system: Python workers live on and serve later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids", forget: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) instead of ``text``.
+
+    With ``forget`` a worker's caches are emptied after each task, for jobs whose workers go on to other stages.
+    """
     keep = [f for f in docs.schema.fields if f.name not in (text, ids)]
     schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
     small_batches(docs.sparkSession)
@@ -256,7 +274,8 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(a, b - a) for f in keep], values], [*[f.name for f in keep], ids])
-        pa.default_memory_pool().release_unused()  # workers live on
+        if forget:
+            own.forget()
 
     return docs.select(*[f.name for f in keep], text).mapInArrow(run, schema)
 
@@ -284,6 +303,6 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids", decoded: str = "deco
                 flat = column.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
                 values = pa.array(own.decode(flat, lengths[a:b]), pa.binary())
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(a, b - a) for f in keep], values], [*[f.name for f in keep], decoded])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select(*[f.name for f in keep]).mapInArrow(run, schema)
