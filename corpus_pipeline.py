@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
 before kept, written as Parquet and read again.  All but the last return the columns of documents.
 SQL can't express the learned, similarity and tokenizer stages, so ORACLE_SQL is None and the tests
 compare run() with a plain Python version.
+
+Defined cases, for every stage: a null or empty text is a text without words (it is scored, linked
+with nothing, holds no benchmark item and no secret, and has no tokens); texts are never cut; rows
+with equal ids count as one document where documents are compared, and stay as many rows where
+rows are judged; rows with a null id are kept by near-dedup; ties go to the smallest id; other
+columns pass through; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -53,7 +59,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     tokenizer = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     rows = docs.select("doc_id", "lang", "source", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    rows = bpe.decode(bpe.encode(rows, *tokenizer), tokenizer[0])
+    rows = bpe.decode(bpe.encode(rows, *tokenizer, forget=True), tokenizer[0])
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.md5("decoded") == F.col("digest")).alias("round_trip"))
 
 
