@@ -112,12 +112,6 @@ class Encoder:
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
-    def forget(self) -> None:
-        """Empties the caches and gives their memory back."""
-        for cache in (self.words, self.first, self.spaced):
-            cache.clear()
-        give_back()
-
     def _encode_words(self, words: list[str]) -> None:
         """Puts the ids of each word, as int32 bytes, into ``self.words``."""
         short, long, size = [], [], 0
@@ -259,7 +253,7 @@ def give_back() -> None:
 def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids", forget: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array of int) instead of ``text``.
 
-    With ``forget`` a worker's caches are emptied after each task, for jobs whose workers go on to other stages.
+    With ``forget`` a worker keeps nothing after its task, for jobs whose workers go on to other stages.
     """
     keep = [f for f in docs.schema.fields if f.name not in (text, ids)]
     schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
@@ -275,7 +269,10 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(a, b - a) for f in keep], values], [*[f.name for f in keep], ids])
         if forget:
-            own.forget()
+            encoder.cache_clear()
+            own.db.close()
+            del own
+            give_back()
 
     return docs.select(*[f.name for f in keep], text).mapInArrow(run, schema)
 
@@ -286,8 +283,8 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def decode(docs: DataFrame, path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``docs`` with ``decoded`` (binary) of ``ids``."""
+def decode(docs: DataFrame, path: str, *, ids: str = "ids", decoded: str = "decoded", forget: bool = False) -> DataFrame:
+    """``docs`` with ``decoded`` (binary) of ``ids``; ``forget`` as in :func:`encode`."""
     keep = [f for f in docs.schema.fields if f.name != decoded]
     schema = T.StructType([*keep, T.StructField(decoded, T.BinaryType())])
     small_batches(docs.sparkSession)
@@ -303,6 +300,10 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids", decoded: str = "deco
                 flat = column.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
                 values = pa.array(own.decode(flat, lengths[a:b]), pa.binary())
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(a, b - a) for f in keep], values], [*[f.name for f in keep], decoded])
-        give_back()
+        if forget:
+            decoder.cache_clear()
+            own.db.close()
+            del own
+            give_back()
 
     return docs.select(*[f.name for f in keep]).mapInArrow(run, schema)
