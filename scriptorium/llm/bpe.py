@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 #: White space as the tokenizer's pattern has it (fixed values).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -241,15 +241,6 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def give_back() -> None:
-    """Free memory of this process goes back to the system: Python workers live on and serve later stages."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids", forget: bool = False) -> DataFrame:
     """``docs`` with ``ids`` (array of int) instead of ``text``.
 

@@ -111,6 +111,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set(ARROW_ROWS, min(int(spark.conf.get(ARROW_ROWS)), rows))
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system: Python workers live on and serve later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to hold at most ``rows`` rows; else as it is (shuffled join)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

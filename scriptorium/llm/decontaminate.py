@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
+from .common import give_back
 
 #: Words in the shortest tile.
 TILE = 4
@@ -160,6 +161,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item:
                     rows = [[dict(zip(("item_id", "coverage", "n_tiles", "longest"), h, strict=True)) for h in hits.get(k, ())] for k in range(b - a)]
                     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest", pa.int32())]))
                     yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in batch.schema.names], pa.array(rows, kind)], [*batch.schema.names, "_hits"])
+            give_back()
 
         result = result.mapInArrow(run, T.StructType([*result.schema.fields, part]))
         result = result.withColumn(out, F.concat(out, "_hits")).drop("_hits")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
-from .common import materialize, scratch, small
+from .common import give_back, materialize, scratch, small
 from .graph import components
 
 WORDS = 5
@@ -70,6 +70,7 @@ def sketches(docs: DataFrame, *keep: str, text: str = "text", words: int = WORDS
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low)))
                 columns = [*[batch.column(f.name).slice(a, b - a) for f in fields], pa.array(sizes), pa.array(hashing.signed(one)), pa.array(hashing.signed(two)), lists]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        give_back()
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
@@ -166,6 +167,7 @@ def verify(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: int,
                         keep.append(at)
                     at += 1
             yield pa.RecordBatch.from_arrays([pa.array([ids_a[i] for i in keep], pa.int64()), pa.array([ids_b[i] for i in keep], pa.int64())], ["a", "b"])
+        give_back()
 
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "near-links", rows=200)
 
@@ -192,6 +194,7 @@ def block_links(rows: DataFrame, texts: DataFrame, threshold: int, words: int) -
             same = task.column("low")[0].as_py() == task.column("high")[0].as_py()
             a, b = joining_links(task.column("id").to_numpy(), task.column("c").to_numpy(), sets, None if same else right, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        give_back()
 
     return placed.mapInArrow(run, "a long, b long")
 
