@@ -241,33 +241,45 @@ def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids", forget: bool = False) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) instead of ``text``.
+def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None, forget: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) instead of ``text``, and with ``decoded`` (binary) of these ids if named.
 
     With ``forget`` a worker keeps nothing after its task, for jobs whose workers go on to other stages.
     """
-    keep = [f for f in docs.schema.fields if f.name not in (text, ids)]
-    schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    keep = [f for f in docs.schema.fields if f.name not in (text, ids, decoded)]
+    more = [T.StructField(decoded, T.BinaryType())] if decoded else []
+    schema = T.StructType([*keep, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *more])
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
+        back = decoder(path) if decoded else None
         for batch in batches:
             column = batch.column(text)
             for a, b in _slices(_lengths(column), 1_000_000):
                 found = own.encode(column.slice(a, b - a).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(a, b - a) for f in keep], values], [*[f.name for f in keep], ids])
+                lengths = np.array([len(x) for x in found], np.int64)
+                values = np.concatenate(found)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
+                columns = [*[batch.column(f.name).slice(a, b - a) for f in keep], lists]
+                if back:
+                    columns.append(pa.array(back.decode(values, lengths), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
         if forget:
-            encoder.cache_clear()
-            own.db.close()
-            del own
+            _close(encoder, own)
+            if back:
+                _close(decoder, back)
+            del own, back
             give_back()
 
     return docs.select(*[f.name for f in keep], text).mapInArrow(run, schema)
 
 
+def _close(cache, coder: Encoder | Decoder) -> None:
+    cache.cache_clear()
+    coder.db.close()
+
+
 def _lengths(column: pa.Array) -> np.ndarray:
     import pyarrow.compute as pc
 
@@ -292,8 +304,7 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids", decoded: str = "deco
                 values = pa.array(own.decode(flat, lengths[a:b]), pa.binary())
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name).slice(a, b - a) for f in keep], values], [*[f.name for f in keep], decoded])
         if forget:
-            decoder.cache_clear()
-            own.db.close()
+            _close(decoder, own)
             del own
             give_back()
 

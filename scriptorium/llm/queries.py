@@ -32,8 +32,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    df = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), *tokenizer)
-    df = bpe.decode(df, tokenizer[0])
+    df = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), *tokenizer, decoded="decoded")
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -192,6 +192,9 @@ def test_bpe(spark, docs, tokenizer):
     for r in out:
         t = want[r["doc_id"]] or ""
         assert list(r["ids"]) == known.encode_ordinary(t) and bytes(r["decoded"]) == t.encode()
+    key = lambda rows: sorted((r["doc_id"], list(r["ids"]), bytes(r["decoded"])) for r in rows)
+    for forget in (False, True):
+        assert key(bpe.encode(df, path, pattern, decoded="decoded", forget=forget).collect()) == key(out)
     assert bpe.encode(empty(docs).select("doc_id", "text"), path, pattern).count() == 0
 
 
