@@ -59,7 +59,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     tokenizer = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     rows = docs.select("doc_id", "lang", "source", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    rows = bpe.decode(bpe.encode(rows, *tokenizer, forget=True), tokenizer[0], forget=True)
+    rows = bpe.encode(rows, *tokenizer, decoded="decoded", forget=True)
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.md5("decoded") == F.col("digest")).alias("round_trip"))
 
 
