@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder in spark.checkpoint.dir and read again: what is used several times is computed once.
 
-    Only where that setting is absent, as in tests, a folder of our own takes its place.
+    In local mode, as in tests, a folder of our own takes the place of an absent setting; on a cluster,
+    whose executors would then write to disks of their own, that is an error.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
