@@ -34,7 +34,8 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CUT = re.compile(f" (?=[^{WHITE}])")
 _ODD = re.compile(f" [{WHITE}]| \\Z")
 
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's caches, and of one that keeps nothing after its task.
+CACHE_ENTRIES, TASK_ENTRIES = 600_000, 400_000
 #: Longest chunk, in characters, that is cached.
 CACHED_CHARS = 64
 LONG_WORD = 256
@@ -108,6 +109,7 @@ class Encoder:
         self.db.register("splits", pa.table({"l": left, "r": right, "rank": rank}))
         self.db.execute("CREATE TABLE merges AS SELECT (l << 24) + r AS pair, rank FROM splits")
         self.db.unregister("splits")
+        self.entries = CACHE_ENTRIES
         self.words: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
@@ -149,9 +151,9 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.words) > CACHE_ENTRIES:
+        if len(self.words) > self.entries:
             self.words.clear()
-        if len(self.first) + len(self.spaced) > CACHE_ENTRIES:
+        if len(self.first) + len(self.spaced) > self.entries:
             self.first.clear()
             self.spaced.clear()
         cut = [(t.split(" ") if not _ODD.search(t) else _CUT.split(t)) if t else [] for t in texts]
@@ -253,6 +255,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", ids:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, pattern)
+        own.entries = TASK_ENTRIES if forget else CACHE_ENTRIES
         back = decoder(path) if decoded else None
         for batch in batches:
             column = batch.column(text)
