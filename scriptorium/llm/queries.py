@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, near_dedup, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup, url_filters
+from . import bpe, decontaminate, language_id, near_dedup, oracles, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup, url_filters
 from .common import documents
 
 #: host, path, verdict
@@ -117,4 +117,4 @@ QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLES = {"op5_url_filters": OP5_SQL}
+ORACLES = {"op5_url_filters": OP5_SQL, **oracles.ORACLES}
