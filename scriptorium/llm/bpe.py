@@ -35,7 +35,7 @@ _CUT = re.compile(f" (?=[^{WHITE}])")
 _ODD = re.compile(f" [{WHITE}]| \\Z")
 
 #: Entries of a worker's caches, and of one that keeps nothing after its task.
-CACHE_ENTRIES, TASK_ENTRIES = 600_000, 400_000
+CACHE_ENTRIES, TASK_ENTRIES = 600_000, 200_000
 #: Longest chunk, in characters, that is cached.
 CACHED_CHARS = 64
 LONG_WORD = 256
