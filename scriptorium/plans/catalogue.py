@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import numeric, text as tx
-from ..operators import audit, chunkers, evaluation as ev, html, maintenance as mt, retrieval as rt, sections, validation as va
+from ..operators import audit, chunkers, evaluation as ev, html, lifecycle as lc, maintenance as mt, retrieval as rt, sections, validation as va
 from ..sources import readers, writers
 from ..streaming import logs
 from . import sql, tables as tb
@@ -564,4 +564,41 @@ def answer_evaluation(spark, d):
     return rows.groupBy("metric").agg(F.round(F.avg("score"), 4).alias("mean"), F.count_if("parse_ok").alias("n"), F.count_if("abstained").alias("n_abstained"))
 
 
+# --- lifecycle --------------------------------------------------------------------------------
+
+
+@query(sql.HYBRID)
+def hybrid_topk(spark, d):
+    """Terms of a document and the vector of its number, fused; a question's vector is that of its own number."""
+    asked = tb.vectors(spark, d).select(F.col("node_id").alias("qid"), F.col("embedding").alias("q")).join(tb.questions(spark, d).select("qid"), "qid", "left_semi")
+    nodes = tb.nodes(spark, d)
+    return rt.retrieve("hybrid", tb.questions(spark, d), nodes, index=rt.build_bm25(nodes), vectors=tb.vectors(spark, d), question_vectors=asked)
+
+
+@query(sql.REQUESTS)
+def request_problems(spark, d):
+    """Turns of conversations as requests."""
+    found = lc.request_problems(F.col("text"), F.col("turn"), F.col("role"))
+    rows = tb.read(spark, d, "conversations").select("conv_id", "turn", found.alias("p"))
+    return rows.select("conv_id", "turn", *[F.array_contains("p", x).alias(f"bad_{x}") for x in ("question", "top_k", "experiment")])
+
+
+@query(sql.RECORDS)
+def retrieval_records(spark, d):
+    q = tb.questions(spark, d)
+    return lc.retrieval_records(q, rt.mock_hits(q.filter("qid % 3 <> 0"), 5), 3, mode="mock").select("qid", "mode", "top_k", "result_count")
+
+
+@query(sql.STATISTICS)
+def document_statistics(spark, d):
+    """Labels as chunks, short documents as skipped ones."""
+    docs = tb.read(spark, d, "documents")
+    return lc.document_statistics(docs.select("doc_id"), tb.read(spark, d, "pages"), tb.read(spark, d, "labels"), docs.filter(F.length("text") < 100), key="doc_id")
+
+
+@query(sql.EVIDENCE)
+def missing_evidence(spark, d):
+    return lc.missing_evidence(tb.questions(spark, d).select(F.col("qid").alias("node_id")), tb.read(spark, d, "labels").select(F.col("doc_id").alias("chunk_id")))
+
+
 FLAGSHIP = bm25_topk_metrics

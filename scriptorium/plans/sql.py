@@ -174,3 +174,16 @@ HISTOGRAM = "SELECT event_type, count(*) AS n, round(count(*) / (SELECT count(*)
 GREP = "SELECT doc_id AS node_id, replace(substr(text, 1, 120), chr(10), '⏎') AS preview FROM documents WHERE contains(text, 'token') ORDER BY doc_id LIMIT 20"
 SUITE = "SELECT count(*) AS n, count(*) AS n_abstained, true AS passed FROM conversations"
 ANSWERS = "SELECT 'faithfulness' AS metric, round(avg(CASE WHEN item_id % 3 <> 0 THEN least(length(text) % 6, 5) / 5.0 ELSE 0.0 END), 4) AS mean, count(*) AS n, count(*) FILTER (item_id % 3 = 0) AS n_abstained FROM benchmark"
+
+HYBRID = f"""WITH {_STATS}, {_hits('a', 30)}, e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS n FROM e),
+s AS (SELECT x.vec_id AS qid, y.vec_id AS node_id, round(list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])) / (x.n * y.n), 4) AS score FROM u x JOIN u y ON x.vec_id IN (SELECT item_id FROM benchmark)),
+w AS (SELECT * FROM (SELECT qid, node_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id) AS rank FROM s) WHERE rank <= 30),
+f AS (SELECT qid, node_id, sum(1.0 / (60 + rank)) AS s FROM (SELECT qid, node_id, rank FROM a UNION ALL SELECT qid, node_id, rank FROM w) GROUP BY 1, 2)
+SELECT * FROM (SELECT qid, node_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(s, 12) DESC, node_id) AS INTEGER) AS rank, round(s, 6) AS score FROM f) WHERE rank <= 5"""
+
+REQUESTS = """SELECT conv_id, turn, coalesce(text, '') = '' OR regexp_full_match(text, '\\s*') OR length(text) > 2000 AS bad_question, turn < 1 OR turn > 20 AS bad_top_k, NOT regexp_full_match(role, '[A-Za-z0-9_-]{1,64}') AS bad_experiment FROM conversations"""
+RECORDS = """SELECT item_id AS qid, 'mock' AS mode, 3 AS top_k, CASE WHEN item_id % 3 <> 0 THEN 3 ELSE 0 END AS result_count FROM benchmark"""
+STATISTICS = """SELECT count(*) AS documents, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS documents_with_nodes, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS documents_without_nodes,
+  (SELECT count(*) FROM documents WHERE length(text) < 100) AS skipped, (SELECT count(*) FROM pages) AS nodes, (SELECT count(*) FROM labels) AS chunks FROM documents"""
+EVIDENCE = "SELECT item_id AS node_id FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels)"
