@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -550,6 +551,60 @@ def test_passages_of_one_class(spark, monkeypatch, block):
     assert all(got[i]["class_id"] == i // 100 * 100 and got[i]["n_links"] == 4 for i in want)
 
 
+def test_passages_meet_in_parts(spark, monkeypatch):
+    """Parts of the meetings hold each pair of blocks once, none holds them all, and their results are those of one part; texts and windows are gone by then."""
+    kept, parts, real = [], [], substring_dedup.materialize
+
+    def noted(df, name, **how):
+        if name == "passage-first-meetings":
+            parts.append(df)
+            place = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+            kept.extend(p.name for p in place.iterdir() if re.match("passage-(texts|cell-texts|left|shared|postings)-[0-9a-f]{32}$", p.name) and p.name not in before)
+        return real(df, name, **how)
+
+    line = [f"line{i}" for i in range(40)]
+    rows = [(k, " ".join([f"a{k}", *line[: 20 + k % 7], f"m{k}", *line[20 + k % 7 :], *(f"p{k % 9}x{i}" for i in range(55)), f"e{k}"])) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    place = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {p.name for p in place.iterdir()} if place.exists() else set()
+    monkeypatch.setattr(substring_dedup, "materialize", noted)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 2)
+    want = {r["doc_id"]: r for r in substring_dedup.near_passages(docs).collect()}
+    assert len(want) == 60 and len(parts) == 1 and not kept
+    monkeypatch.setattr(substring_dedup, "PART_ROWS", 1)
+    monkeypatch.setattr(substring_dedup, "PART_TIMES", 1)
+    got = {r["doc_id"]: r for r in substring_dedup.near_passages(docs).collect()}
+    assert len(parts) > 2 and not kept and got == want
+
+
+def test_placed_in_parts(spark, monkeypatch):
+    lists = [(7, i, 0, 30) for i in range(30)] + [(3, i, 0, 4) for i in range(4)]
+    cells = spark.createDataFrame([(i, 0, i, [5] if i % 2 else []) for i in range(30)], "id long, cell int, c long, at array<int>")
+    listed = substring_dedup.cells_listed(spark.createDataFrame(lists, "key long, id long, cell int, m long"), cells)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 2)
+    monkeypatch.setattr(substring_dedup, "WIDE", 2)
+    one = substring_dedup.placed_in(listed, 0, 1).collect()
+    some = [substring_dedup.placed_in(listed, k, 5).collect() for k in range(5)]
+    assert sorted(map(str, one)) == sorted(str(r) for rows in some for r in rows) and max(map(len, some)) < len(one) / 2
+    assert len(one) == 30 * 8 + 4  # 30 cells are in 8 blocks of 4
+    met = set()
+    for at in {(r["key"], r["one"], r["two"]) for r in one}:
+        left, right = ([r["id"] for r in one if (r["key"], r["one"], r["two"]) == at and r["right"] == side] for side in (False, True))
+        met |= {(at[0], frozenset((i, k))) for i in left for k in (left if at[1] == at[2] else right) if i != k}
+    assert met == {(key, frozenset((i, k))) for key, n in ((7, 30), (3, 4)) for i in range(n) for k in range(n) if i != k}
+    assert all(r["keys"] == ([3] if r["key"] == 7 and r["id"] < 4 else []) for r in one)
+
+
+def test_tiles_of_cells(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 3)
+    for right in (None, np.arange(11) % 4 == 0):
+        seen = []
+        for at, side in substring_dedup.tiles(right, 11):
+            assert side is not None or len(at) <= 3
+            seen += [(i, k) for n, i in enumerate(at.tolist()) for m, k in enumerate(at.tolist()) if i < k and (side is None or side[n] != side[m])]
+        assert sorted(seen) == [(i, k) for i in range(11) for k in range(i + 1, 11) if right is None or right[i] != right[k]]
+
+
 def test_passages_of_odd_tables(spark):
     """Repeated rows, rows of one id with different texts, columns of clashing names, null ids."""
     p = prose(60, 1)
