@@ -710,6 +710,26 @@ def test_rejection(spark):
     assert not model.predict([prose(40, 99)])[2][0] and model.predict(["ЖЖЖ ЦЦЦ ШШШ ЩЩЩ ЖЖЖ"])[2][0]
 
 
+def test_quality_classifier_learns_from_every_row(spark):
+    """7,000 labelled rows: counts, moments, loss and threshold against plain numpy over all rows and pairs, and the rare kind of good row counts."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(WORDS) + r.choice(["", "", ".", "!"]) for _ in range(r.randrange(4, 12))) for _ in range(7000)]
+    good = [r.random() < 0.6 if "!" in t else r.random() < 0.3 for t in texts]
+    x = quality_classifier.features(*(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t) for t in texts)])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    g = np.array(good)
+    assert np.allclose(model.mean, x.mean(axis=0), atol=1e-9) and np.allclose(model.scale, x.std(axis=0) + 1e-6, atol=1e-9)
+    strength = model._inputs(x) @ model.weights
+    assert abs(model.threshold - np.sort(strength)[(~g).sum() - 1 : (~g).sum() + 1].mean()) < 1e-9
+    assert (model.scores(x) > 0.5).sum() == g.sum()
+    # the gradient of the loss over all pairs is about zero
+    z, wrong = model._inputs(x), 1 / (1 + np.exp(strength[g][:, None] - strength[~g][None, :]))
+    gradient = (wrong.sum(axis=0) @ z[~g] - wrong.sum(axis=1) @ z[g]) / wrong.size + quality_classifier.PENALTY * model.weights
+    assert np.abs(gradient).max() < 1e-3, gradient
+
+
 def test_quality_classifier(spark, docs):
     good = [(i, ". ".join(prose(12, i * 7 + k).capitalize() for k in range(5)) + ".") for i in range(150)]
     poor = [(i + 500, " | ".join(prose(30, i).upper().split())) for i in range(60)]
