@@ -405,6 +405,37 @@ def test_meet():
     assert not substring_dedup.meet(ids, c, low, near, at, [np.array([1, 9])] * 3, 9, None, width, 0.8)
 
 
+def test_meet_finds_places_once(monkeypatch):
+    """Cells with a passage in common and an open place outside of it: all places are found, by about as many comparisons as cells, not as pairs."""
+    r, width, n, calls = np.random.default_rng(5), 46, 60, []
+    passage = r.integers(0, 2**62, 80)
+    own = lambda size: r.integers(0, 2**62, size)
+    near = [np.concatenate([own(20), passage[:40], own(3), passage[40:], own(33)]) for _ in range(n)]
+    real = substring_dedup.similar_runs
+    monkeypatch.setattr(substring_dedup, "similar_runs", lambda *x: calls.append(1) or real(*x))
+    zero = np.zeros(n, np.int64)
+    found = substring_dedup.meet(np.arange(n), zero, zero, near, [np.array([5, 50])] * n, [np.array([9])] * n, 9, None, width, 0.8)
+    covered = [np.zeros(136, bool) for _ in range(n)]
+    for a, b, s, e, t, u in found:
+        covered[a][s:e] = covered[b][t:u] = True
+    # a passage goes on by two shingles at an end, as long as 41 of 46 are equal
+    assert all(x[18:105].all() and not x[:18].any() and not x[105:].any() for x in covered)
+    assert len(calls) < 2 * n
+
+
+def test_windows_of_repeated_values():
+    r, w = np.random.default_rng(8), 7
+    for kinds in (1, 4, 1000):
+        x = r.integers(0, kinds, 30)
+        kept = np.isin(x, r.integers(0, kinds, kinds // 2))
+        for some in (None, kept):
+            want = [len({v for v, k in zip(x[s : s + w].tolist(), (kept if some is not None else x >= 0)[s : s + w], strict=True) if k}) for s in range(24)]
+            assert substring_dedup.distinct_in_windows(x, some, w).tolist() == want
+        assert substring_dedup.window_counts(x, w).sum(axis=0).tolist() == substring_dedup.distinct_in_windows(x, None, w).tolist()
+        assert substring_dedup.holding(kept, w).tolist() == [bool(kept[s : s + w].any()) for s in range(24)]
+        assert substring_dedup.inside(substring_dedup.edges(kept), 30).tolist() == kept.tolist()
+
+
 def test_similar_runs():
     """The passages of distinct values, against windows compared one by one."""
     r, w = np.random.default_rng(2), 12
