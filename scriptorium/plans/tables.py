@@ -23,18 +23,25 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected nodes: documents that hold an item's text.
+    """Expected nodes: documents that hold an item's text."""
+    return holders(questions(spark, sf_dir), nodes(spark, sf_dir))
 
-    A document that holds it also holds its first word run, so pairs meet on hashed leading words
-    and only these are searched.
+
+def holders(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(qid, node_id) of nodes whose text contains a question's text as written.
+
+    What stands between two blanks of a question also stands between two blanks of a text that
+    contains it: the longest such piece is an anchor, and only texts with the anchor are searched.
+    Questions without an anchor are searched in every text.
     """
-    n = 3
-    q = questions(spark, sf_dir).withColumn("lead", F.array_join(F.slice(F.split("question", " "), 2, n), " "))
-    words = nodes(spark, sf_dir).select("node_id", "text", F.split(F.translate("text", "\n", " "), " ").alias("w"))
-    # words and their shifted copies, zipped: each is split once, not once per word
-    grams = F.transform(F.arrays_zip("w", *[F.slice("w", i + 1, F.greatest(F.size("w"), F.lit(1))).alias(f"w{i}") for i in range(1, n)]), lambda z: F.concat_ws(" ", z["w"], *[z[f"w{i}"] for i in range(1, n)]))
-    d = words.select("node_id", "text", F.explode(F.array_distinct(grams)).alias("lead")).join(sized_broadcast(q.select("lead").distinct()), "lead", "left_semi")
-    return d.join(sized_broadcast(q), "lead").filter(F.instr("text", F.col("question")) > 0).select("qid", "node_id").distinct()
+    inner = F.array_sort(F.transform(F.slice(F.split("question", " ", -1), 2, F.greatest(F.size(F.split("question", " ", -1)) - 2, F.lit(0))), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
+    q = asked.select("qid", "question", F.get(inner, 0)["p"].alias("anchor"))
+    pieces = held.select("node_id", "text", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("anchor"))
+    found = pieces.join(sized_broadcast(q.filter("anchor IS NOT NULL")), "anchor").filter(F.contains("text", "question")).select("qid", "node_id")
+    rest = q.filter("anchor IS NULL AND question IS NOT NULL")
+    if rest.limit(1).count():
+        found = found.union(held.join(sized_broadcast(rest), F.contains("text", "question")).select("qid", "node_id"))
+    return found.distinct()
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import evaluation as ev, retrieval as rt
+from scriptorium.plans import tables
 
 DOCS = [("n_conn", "连接失败时如何排查错误"), ("n_qos", "QoS 策略配置"), ("n_qos2", "QoS 策略配置文件 XML 结构"), ("n_blank", "  ")]
 
@@ -104,3 +105,13 @@ def test_verdicts(spark):
     assert v(False, False, none, 0.8, False, 0.03, False) == "regression"
     assert v(False, False, none, 0.8, False, 0.0, True) == "warn"
     assert v(False, False, none, 0.8, False, 0.0, False) == "pass"
+
+
+def test_expected_nodes(spark):
+    """Questions with line breaks, of few words or cut within a word are found wherever their text stands."""
+    texts = ["x one two\nthree four five y", "one two three four five", "so ab cdef", "ab", "a  b", "%"]
+    asked = ["one two\nthree four fi", "one two three four", "b c", "ab", "a  b", "zz yy xx ww", " two", "five y"]
+    q = spark.createDataFrame(list(enumerate(asked)), "qid long, question string")
+    d = spark.createDataFrame(list(enumerate(texts)), "node_id long, text string")
+    got = {tuple(r) for r in tables.holders(q, d).select("qid", "node_id").collect()}
+    assert got == {(i, j) for i, a in enumerate(asked) for j, t in enumerate(texts) if a in t}
