@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.sized import sized_broadcast
+from ..sources.stored import settle
+from .matching import find_terms
 
 TOLERANCE = 2
 #: Codes that block a data set (fixed values).
@@ -22,10 +24,9 @@ def term_pages(terms: DataFrame, nodes: DataFrame) -> DataFrame:
     ``terms`` (source_id, term) is a stated query set; only nodes of its sources meet it.  Nodes
     without pages are invisible.
     """
-    bodies = nodes.filter("printed_page_start IS NOT NULL AND printed_page_end IS NOT NULL").select("source_id", "printed_page_start", "printed_page_end", tx.squeeze(F.col("text")).alias("body"))
-    wanted = terms.select("source_id", "term", tx.squeeze(F.col("term")).alias("needle")).filter("needle <> ''").distinct()
-    hits = bodies.join(sized_broadcast(wanted), "source_id").filter(F.instr("body", F.col("needle")) > 0)
-    return hits.select("source_id", "term", F.explode(F.sequence("printed_page_start", "printed_page_end")).alias("page")).distinct()
+    bodies = nodes.filter("printed_page_start IS NOT NULL AND printed_page_end IS NOT NULL").select("source_id", F.lit(0).alias("rank"), F.col("printed_page_start").alias("lo"), F.col("printed_page_end").alias("hi"), "text")
+    hits = find_terms(bodies, terms)
+    return hits.select("source_id", "term", F.explode(F.sequence("lo", "hi")).alias("page")).distinct()
 
 
 def source_bounds(nodes: DataFrame) -> DataFrame:
@@ -37,11 +38,9 @@ def section_spans(keywords: DataFrame, nodes: DataFrame) -> DataFrame:
 
     ``nodes`` needs ord, the place in the document.
     """
-    wanted = keywords.select("source_id", "keyword", tx.squeeze(F.col("keyword")).alias("k")).filter("k <> ''").distinct()
-    titled = nodes.select("source_id", "ord", "printed_page_start", "printed_page_end", tx.squeeze(F.concat_ws(" ", "title", "section_path")).alias("t"))
-    hits = titled.join(sized_broadcast(wanted), "source_id").filter(F.instr("t", F.col("k")) > 0)
-    first = hits.groupBy("source_id", "keyword").agg(F.min_by(F.struct("printed_page_start", "printed_page_end"), "ord").alias("s"))
-    return first.select("source_id", "keyword", F.col("s.printed_page_start").alias("s_lo"), F.col("s.printed_page_end").alias("s_hi"), F.lit(True).alias("in_title"))
+    titled = nodes.select("source_id", F.col("ord").alias("rank"), F.col("printed_page_start").alias("lo"), F.col("printed_page_end").alias("hi"), F.concat_ws(" ", "title", "section_path").alias("text"))
+    first = find_terms(titled, keywords.select("source_id", F.col("keyword").alias("term")), first=True)
+    return first.select("source_id", F.col("term").alias("keyword"), F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"), F.lit(True).alias("in_title"))
 
 
 def audit(annotations: DataFrame, questions: DataFrame, nodes: DataFrame, top1: DataFrame | None = None, tolerance: int = TOLERANCE) -> DataFrame:
@@ -52,7 +51,7 @@ def audit(annotations: DataFrame, questions: DataFrame, nodes: DataFrame, top1:
     printed_page_start, printed_page_end; ``top1``: question_id, page of the first hit.
     """
     a = annotations.withColumn("aid", F.monotonically_increasing_id())
-    a = a.join(questions.withColumn("known", F.lit(True)), "question_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    a = settle(a.join(questions.withColumn("known", F.lit(True)), "question_id", "left").withColumn("known", F.coalesce("known", F.lit(False))), "annotations")
     none = F.coalesce(F.col("source_id") == "", F.lit(True)) & F.col("page_lo").isNull() & F.col("page_hi").isNull() & F.coalesce(F.col("section_keyword") == "", F.lit(True))
     find = lambda df, code: df.select("question_id", F.lit(code).alias("code"))
     out = find(a.filter("NOT known"), BLOCKING[0]).union(find(a.filter(none), "CONTRACT_NO_CONDITION"))
@@ -69,18 +68,19 @@ def audit(annotations: DataFrame, questions: DataFrame, nodes: DataFrame, top1:
     out = out.union(find(inside.select("aid", "question_id").distinct().join(seen, "aid", "left_anti"), "PAGE_NO_CHUNK"))
 
     k = a.filter("section_keyword <> ''").select("aid", "question_id", "source_id", "page_lo", "page_hi", F.col("section_keyword").alias("keyword"))
+    t = a.withColumn("tokens", tx.identifiers(F.coalesce("question", F.lit(""))))
+    out = out.union(find(t.filter(F.size("tokens") == 0), "NO_TOKEN_PROBE"))
+    t = t.filter("source_id <> '' AND page_lo IS NOT NULL").select("aid", "question_id", "source_id", "page_lo", "page_hi", F.explode("tokens").alias("term"))
     spans = section_spans(k.select("source_id", "keyword"), nodes)
-    where = term_pages(k.select("source_id", F.col("keyword").alias("term")), nodes)
+    # keywords and tokens are looked up together, so that texts are read once
+    where = settle(term_pages(k.select("source_id", F.col("keyword").alias("term")).union(t.select("source_id", "term")), nodes), "term-pages")
     near = k.join(where.withColumnRenamed("term", "keyword"), ["source_id", "keyword"]).groupBy("aid").agg(F.bool_or(F.col("page").between(F.col("page_lo") - tolerance, F.col("page_hi") + tolerance)).alias("near"))
     k = k.join(spans, ["source_id", "keyword"], "left").join(near.withColumn("in_text", F.lit(True)), "aid", "left")
     out = out.union(find(k.filter("in_title IS NULL AND in_text IS NULL"), "TERM_NOT_FOUND"))
     out = out.union(find(k.filter(f"page_hi < s_lo - {tolerance} OR page_lo > s_hi + {tolerance}"), "SECTION_PAGE_MISMATCH"))
     out = out.union(find(k.filter("page_lo IS NOT NULL AND in_text AND NOT near"), "TERM_PAGE_MISMATCH"))
 
-    t = a.withColumn("tokens", tx.identifiers(F.coalesce("question", F.lit(""))))
-    out = out.union(find(t.filter(F.size("tokens") == 0), "NO_TOKEN_PROBE"))
-    t = t.filter("source_id <> '' AND page_lo IS NOT NULL").select("aid", "question_id", "source_id", "page_lo", "page_hi", F.explode("tokens").alias("term"))
-    found = t.join(term_pages(t.select("source_id", "term"), nodes), ["source_id", "term"]).groupBy("aid", "term").agg(F.bool_or(F.col("page").between(F.col("page_lo") - tolerance, F.col("page_hi") + tolerance)).alias("near"))
+    found = t.join(where, ["source_id", "term"]).groupBy("aid", "term").agg(F.bool_or(F.col("page").between(F.col("page_lo") - tolerance, F.col("page_hi") + tolerance)).alias("near"))
     t = t.join(found, ["aid", "term"], "left").groupBy("aid", "question_id").agg(F.bool_or(F.col("near").isNull()).alias("absent"), F.bool_or(F.coalesce(~F.col("near"), F.lit(False))).alias("off"))
     out = out.union(find(t.filter("absent"), "QUESTION_TOKEN_ABSENT")).union(find(t.filter("off"), "QUESTION_TOKEN_OFF_PAGE"))
     if top1 is not None:

@@ -67,7 +67,7 @@ def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as annotations: quality as first page, a fixed width, the first word as keyword."""
     x = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id")
-    return x.select(F.col("doc_id").alias("question_id"), F.col("source").alias("source_id"), (F.col("quality") + 1).cast("int").alias("page_lo"), (F.col("quality") + 3).cast("int").alias("page_hi"), F.lit(False).alias("page_is_scalar"), F.split("text", " ")[0].alias("section_keyword"))
+    return x.select(F.col("doc_id").alias("question_id"), F.col("source").alias("source_id"), (F.col("quality") + 1).cast("int").alias("page_lo"), (F.col("quality") + 3).cast("int").alias("page_hi"), F.lit(False).alias("page_is_scalar"), F.substring_index("text", " ", 1).alias("section_keyword"))
 
 
 def audited_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import audit, chunkers, html, sections, validation as va
+from scriptorium.operators import audit, chunkers, html, matching, sections, validation as va
 from scriptorium.sources import readers, writers
 from scriptorium.streaming import logs
 
@@ -165,3 +165,22 @@ def test_streams(spark, tmp_path):
     batch = spark.createDataFrame([("f", "r", "up", "q" * 600, ["n1"]), ("g", "r", "up", "q", ["zz"]), ("h", "none", "up", "q", [])], "feedback_id string, request_id string, rating string, question string, node_ids array<string>")
     cited = spark.createDataFrame([("r", ["n1", "n2"])], "request_id string, cited_ids array<string>")
     assert [(r["feedback_id"], len(r["question"]), r["cited_nodes"]) for r in logs.feedback_rows(batch, cited).collect()] == [("f", 500, 2)]
+
+
+def test_terms_in_texts(spark, monkeypatch):
+    """Terms of a source are found in its texts, across words and whatever their length, in cells of a bounded size."""
+    for name, value in (("CELL", 60), ("TERMS", 5), ("CHUNK", 40), ("PAIRS", 3)):
+        monkeypatch.setattr(matching, name, value)
+    texts = ["one Two\nthree", "连接失败 错误 one", "threefour five-six seven eight nine ten", "", "aaaaaaaaaaaaaaaaaaaaaaaaab", "ñ " * 30, "two three"]
+    terms = ["TWO three", "one", "e", "败错", "four five-six SEVEN eight n", "aaaaaaaaaaaaaaaaaaaaaab", "aaaaaaaaa", "ññ", " ", "missing-term", "nineten", "ninetenx"]
+    nodes = [(f"s{i % 2}", i, i % 3, i % 3 + 1, t) for i, t in enumerate(texts * 3)] + [(None, 1, 1, 1, "one")]
+    asked = [(f"s{j}", t) for j in range(3) for t in terms] + [(None, "one")]
+    tight = lambda t: "".join(t.lower().split())
+    n, t = spark.createDataFrame(nodes, "source_id string, rank long, lo int, hi int, text string"), spark.createDataFrame(asked, "source_id string, term string")
+    hits = [(s, a, r, lo, hi) for s, a in asked if s and tight(a) for source, r, lo, hi, text in nodes if source == s and tight(a) in tight(text)]
+    pages, firsts = {}, {}
+    for s, a, r, lo, hi in hits:
+        pages[s, a, lo, hi] = min(r, pages.get((s, a, lo, hi), r))
+        firsts[s, a] = min((r, lo, hi), firsts.get((s, a), (r, lo, hi)))
+    assert {(x["source_id"], x["term"], x["lo"], x["hi"]): x["rank"] for x in matching.find_terms(n, t).collect()} == pages
+    assert {(x["source_id"], x["term"]): (x["rank"], x["lo"], x["hi"]) for x in matching.find_terms(n, t, first=True).collect()} == firsts
