@@ -30,6 +30,8 @@ TABLE_CHARS, MAX_CHARS, MIN_CHARS, SMALL, OVERFLOW, OVERSIZE = 1800, 2500, 20, 1
 EXCLUDED_DIRS, EXCLUDED_SUFFIX = ("search", "static"), "_source.html"
 INDEX_PAGES = r"^(annotated|classes|functions|functions_.*|pages|modules|dir_.*|files|globals.*|namespace.*)\.html$"
 
+PAGES_HELD = 64
+
 BLOCKS = "array<struct<kind:string,text:string,level:int,api_name:string>>"
 
 
@@ -203,7 +205,8 @@ def parse_pages(pages: DataFrame, *keep: str, html: str = "html", root: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("level", pa.int32()), ("api_name", pa.string())]))
-        for batch in batches:
+        # a page's tree and blocks are many times its text: few pages are held at once, whatever the batch
+        for batch in (b.slice(at, PAGES_HELD) for b in batches for at in range(0, b.num_rows, PAGES_HELD)):
             titles, blocks = [], []
             for source in batch.column(html).to_pylist():
                 dom = Dom(source or "").root

@@ -184,3 +184,25 @@ def test_terms_in_texts(spark, monkeypatch):
         firsts[s, a] = min((r, lo, hi), firsts.get((s, a), (r, lo, hi)))
     assert {(x["source_id"], x["term"], x["lo"], x["hi"]): x["rank"] for x in matching.find_terms(n, t).collect()} == pages
     assert {(x["source_id"], x["term"]): (x["rank"], x["lo"], x["hi"]) for x in matching.find_terms(n, t, first=True).collect()} == firsts
+
+
+def test_few_pages_are_held(spark):
+    """What a worker makes of a batch leaves it in parts of a bounded number of pages."""
+    import pyarrow as pa
+
+    made = []
+
+    class Pages:
+        schema = {"page_id": html.T.StructField("page_id", html.T.LongType())}
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            made.append(run)
+
+    html.parse_pages(Pages(), "page_id", title_prefix="LIB")
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(150)), "html": [PAGE] * 149 + [None]})
+    parts = list(made[0](iter([batch])))
+    assert max(p.num_rows for p in parts) <= html.PAGES_HELD < 150 and [x for p in parts for x in p.column(0).to_pylist()] == list(range(150))
+    assert all(p.column(2)[0].as_py() == parts[0].column(2)[0].as_py() for p in parts)
