@@ -80,10 +80,15 @@ def fingerprint(content: Column, digits: int = 12) -> Column:
     return F.substring(F.sha2(F.regexp_replace(content, "\r\n", "\n"), 256), 1, digits)
 
 
-def hash_vector(text: Column, dims: int = 16) -> Column:
+#: Numbers of a hash vector.
+DIMS = 16
+
+
+def hash_vector(text: Column, dims: int = DIMS) -> Column:
     """Deterministic stand-in for an embedding: hashed counts of a text's words."""
     from .text import terms
 
-    zeros = F.array_repeat(F.lit(0.0), dims)
     words = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
-    return F.aggregate(words, zeros, lambda v, j: F.transform(v, lambda x, i: x + (i == j).cast("double")))
+    # bound as an element, words are made once; a count is what goes when a number is removed
+    counts = F.transform(F.array(words), lambda ws: F.array(*[(F.size(ws) - F.size(F.array_remove(ws, F.lit(j)))).cast("double") for j in range(dims)]))
+    return F.when(text.isNotNull(), F.element_at(counts, 1))

@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import numeric, text as tx
-from ..sources.stored import settle
+from ..sources.stored import settle, settle_by
 from . import sections
 from .html import cut_text
 
@@ -54,10 +55,10 @@ def fixed_chunks(text: Column, size: int, overlap: int = 0) -> Column:
 
 def structure_chunks(pages: DataFrame, tree: DataFrame, *, most: int = MAX_CHARS, large: int = LARGE, whole_pages: bool = False, prefix: str = "struct_v1") -> DataFrame:
     """Chunks per level-3 section; large ones along their direct subsections, with the lead before the first."""
-    tree = settle(tree, "tree")
-    texts = settle(sections.section_texts(tree, pages, whole_pages=whole_pages), "section-texts")
+    tree = settle_by(tree, "tree", "doc")
+    texts = settle_by(sections.section_texts(tree, pages, whole_pages=whole_pages), "section-texts", "doc")
     size = texts.select("doc", "ord", F.length("text").alias("size"))
-    kids = settle(sections.descendants(tree).join(tree.select("doc", F.col("ord").alias("child"), F.col("level").alias("child_level")), ["doc", "child"]), "subsections")
+    kids = settle_by(sections.descendants(tree).join(tree.select("doc", F.col("ord").alias("child"), F.col("level").alias("child_level")), ["doc", "child"]), "subsections", "doc")
     units = tree.filter("level = 3").select("doc", "ord").join(size, ["doc", "ord"])
     inner = kids.filter("child_level IN (4, 5)")
     split = units.filter(F.col("size") > large).join(inner.select("doc", "ord").distinct(), ["doc", "ord"], "left_semi")
@@ -66,18 +67,14 @@ def structure_chunks(pages: DataFrame, tree: DataFrame, *, most: int = MAX_CHARS
     third = deep.select("doc", "ord").join(inner, ["doc", "ord"]).select("doc", F.col("child").alias("ord"))
     used = units.select("doc", "ord").join(split, ["doc", "ord"], "left_anti").union(second.select("doc", "ord").join(deep, ["doc", "ord"], "left_anti")).union(third)
     bodies = used.distinct().join(texts, ["doc", "ord"])
-    # a lead is the section cut at its first subsection: the tree with that subsection as boundary
+    # a lead is the section cut at its first subsection
     parents = split.select("doc", "ord").union(deep.select("doc", "ord")).distinct()
     first = parents.join(inner, ["doc", "ord"]).groupBy("doc", "ord").agg(F.min("child").alias("child"))
-    heads = tree.select("doc", F.col("ord").alias("child"), "title", F.col("heading_page").alias("hp"), F.col("heading_offset").alias("ho"), F.col("page_start").alias("ps"))
-    lead_tree = tree.join(first, ["doc", "ord"]).select("doc", "ord", F.lit(1).alias("level"), "title", "page_start", "page_end", "heading_page", "heading_offset", "child")
-    marks = lead_tree.select("doc", "child", F.col("ord").alias("of")).join(heads, ["doc", "child"])
-    keyed = lead_tree.select(F.concat_ws("#", "doc", "ord").alias("doc"), "ord", "level", "title", "page_start", "page_end", "heading_page", "heading_offset").unionByName(
-        marks.select(F.concat_ws("#", "doc", "of").alias("doc"), F.col("child").alias("ord"), F.lit(1).alias("level"), "title", F.col("ps").alias("page_start"), F.col("ps").alias("page_end"), F.col("hp").alias("heading_page"), F.col("ho").alias("heading_offset")))
-    of = lead_tree.select("doc", F.concat_ws("#", "doc", "ord").alias("key"))
-    lead_pages = of.join(pages, "doc").select(F.col("key").alias("doc"), "physical_page", "text")
-    leads = sections.section_texts(keyed, lead_pages, whole_pages=False).join(lead_tree.select(F.concat_ws("#", "doc", "ord").alias("doc"), "ord", "title", F.col("doc").alias("d")), ["doc", "ord"])
-    leads = leads.filter(tx.squeeze(F.col("text")) != tx.squeeze(F.col("title"))).select(F.col("d").alias("doc"), "ord", "text")
+    heads = tree.select("doc", F.col("ord").alias("child"), *[F.col(c).alias(f"b_{c}") for c in sections.BOUNDARY])
+    own = tree.select("doc", "ord", "title", "page_start", "page_end", "heading_page", "heading_offset").join(first, ["doc", "ord"]).join(heads, ["doc", "child"])
+    own = own.withColumn("boundary", F.when(F.col("child") > F.col("ord"), F.struct(F.col("child").alias("ord"), *[F.col(f"b_{c}").alias(c) for c in sections.BOUNDARY])))
+    leads = sections.bounded_texts(own, pages).join(own.select("doc", "ord", "title"), ["doc", "ord"])
+    leads = leads.filter(tx.squeeze(F.col("text")) != tx.squeeze(F.col("title"))).select("doc", "ord", "text")
     bodies = bodies.select("doc", "ord", "text").unionByName(leads)
     rows = bodies.select("doc", "ord", F.posexplode(assembler(most)(tx.atomic_segments(F.col("text")))).alias("chunk_no", "text"))
     rows = rows.join(tree.select("doc", "ord", "node_id", "page_start"), ["doc", "ord"])
@@ -91,12 +88,21 @@ def semantic_breaks(sentences: DataFrame, embed: Callable[[Column], Column] = nu
     next one is above the document's percentile.
     """
     w = W.partitionBy("doc").orderBy("seq")  # one document's sentences
-    near = F.concat(F.coalesce(F.lag("sentence").over(w), F.lit("")), F.lit(" "), F.col("sentence"), F.lit(" "), F.coalesce(F.lead("sentence").over(w), F.lit("")))
-    rows = sentences.withColumn("v", embed(near)).withColumn("next_v", F.lead("v").over(w))
-    rows = rows.withColumn("distance", F.round(1 - F.coalesce(F.try_divide(numeric.dot(F.col("v"), F.col("next_v")), numeric.norm(F.col("v")) * numeric.norm(F.col("next_v"))), F.lit(0.0)), 9))
-    rows = rows.withColumn("distance", F.when(F.col("next_v").isNotNull(), F.col("distance"))).drop("v", "next_v")
-    limits = rows.groupBy("doc").agg(F.percentile("distance", percentile).alias("limit"))
-    rows = rows.join(limits, "doc").withColumn("ends", (F.coalesce(F.col("distance") > F.col("limit"), F.lit(False))).cast("int"))
+    if embed is numeric.hash_vector:  # counts of words add up, so that each sentence is cut once; its numbers are taken one by one
+        at = lambda c: [F.get(F.col(c), F.lit(i)) for i in range(numeric.DIMS)]
+        total = lambda xs: reduce(Column.__add__, xs, F.lit(0.0))
+        rows = sentences.withColumn("e", embed(F.col("sentence"))).withColumn("e1", F.lag("e").over(w)).withColumn("e2", F.lead("e").over(w))
+        rows = rows.withColumn("v", F.array(*[x + F.coalesce(y, F.lit(0.0)) + F.coalesce(z, F.lit(0.0)) for x, y, z in zip(at("e"), at("e1"), at("e2"), strict=True)])).drop("e", "e1", "e2")
+        norm, dot = F.sqrt(total(x * x for x in at("v"))), total(x * y for x, y in zip(at("v"), at("next_v"), strict=True))
+    else:
+        near = F.concat(F.coalesce(F.lag("sentence").over(w), F.lit("")), F.lit(" "), F.col("sentence"), F.lit(" "), F.coalesce(F.lead("sentence").over(w), F.lit("")))
+        rows = sentences.withColumn("v", embed(near))
+        norm, dot = numeric.norm(F.col("v")), numeric.dot(F.col("v"), F.col("next_v"))
+    rows = rows.withColumn("nv", norm).withColumn("next_v", F.lead("v").over(w)).withColumn("next_nv", F.lead("nv").over(w))
+    rows = rows.withColumn("distance", F.round(1 - F.coalesce(F.try_divide(dot, F.col("nv") * F.col("next_nv")), F.lit(0.0)), 9))
+    rows = rows.withColumn("distance", F.when(F.col("next_v").isNotNull(), F.col("distance"))).drop("v", "nv", "next_v", "next_nv")
+    # a window, as a join with the limits would make all distances twice
+    rows = rows.withColumn("limit", F.percentile("distance", percentile).over(W.partitionBy("doc"))).withColumn("ends", (F.coalesce(F.col("distance") > F.col("limit"), F.lit(False))).cast("int"))
     return rows.withColumn("part", F.coalesce(F.sum("ends").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("limit", "ends")
 
 

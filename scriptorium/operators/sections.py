@@ -15,6 +15,7 @@ from ..functions import numeric, text as tx
 
 LEVELS = range(1, 6)
 PAGE_WINDOW, LEAST_SIMILARITY = 1, 0.8
+BOUNDARY = ("heading_page", "heading_offset", "page_start")
 
 
 def by_level(level: Column, values: dict[int, Column]) -> Column:
@@ -125,8 +126,13 @@ def descendants(tree: DataFrame) -> DataFrame:
 
 def section_texts(tree: DataFrame, pages: DataFrame, *, whole_pages: bool = False) -> DataFrame:
     """(doc, ord, text): pages of each section, cut at its own heading and at its boundary's."""
+    return bounded_texts(with_boundaries(tree, *BOUNDARY), pages, whole_pages=whole_pages)
+
+
+def bounded_texts(tree: DataFrame, pages: DataFrame, *, whole_pages: bool = False) -> DataFrame:
+    """As :func:`section_texts`, of sections whose ``boundary`` is known."""
     start = lambda p: F.struct(F.coalesce(F.col(f"{p}heading_page"), F.col(f"{p}page_start")).alias("page"), F.when(F.col(f"{p}heading_page").isNotNull(), F.col(f"{p}heading_offset")).otherwise(0).alias("offset"))
-    rows = with_boundaries(tree, "heading_page", "heading_offset", "page_start").withColumn("a", start("")).withColumn("z", F.when(F.col("boundary").isNotNull(), start("boundary.")))
+    rows = tree.withColumn("a", start("")).withColumn("z", F.when(F.col("boundary").isNotNull(), start("boundary.")))
     last = F.when(F.lit(whole_pages) | F.col("z").isNull(), F.col("page_end")).otherwise(F.least("page_end", F.col("z.page")))
     first = F.col("page_start") if whole_pages else F.col("a.page")
     each = rows.select("doc", "ord", "a", "z", "page_end", F.explode(F.sequence(first, F.greatest(last, first))).alias("physical_page"))

@@ -12,6 +12,7 @@ from ..functions import numeric, text as tx
 from ..operators import audit, chunkers, evaluation as ev, html, lifecycle as lc, maintenance as mt, retrieval as rt, sections, validation as va
 from ..sources import readers, writers
 from ..sources.sized import sized_broadcast
+from ..sources.stored import settle_by
 from ..streaming import logs
 from . import sql, tables as tb
 
@@ -366,9 +367,10 @@ def bookmark_tree(spark, d):
     return t.select("doc", "ord", "level", "parent", "part", "chapter")
 
 
-def _tree(spark, d):
-    t = sections.bookmark_tree(tb.bookmarks(spark, d))
-    totals = tb.lines(spark, d).groupBy("doc").agg(F.max("physical_page").alias("total_pages"))
+def _tree(spark, d, lines=None):
+    lines = tb.lines(spark, d) if lines is None else lines
+    t = sections.bookmark_tree(tb.bookmarks(spark, d, lines))
+    totals = lines.groupBy("doc").agg(F.max("physical_page").alias("total_pages"))
     return sections.page_ranges(t, totals)
 
 
@@ -392,23 +394,31 @@ def heading_offsets(spark, d):
     return sections.heading_offsets(_tree(spark, d), tb.lines(spark, d)).select("doc", "ord", "heading_page", "heading_offset")
 
 
-def _located(spark, d):
-    return sections.heading_offsets(_tree(spark, d), tb.lines(spark, d))
+def _lines(spark, d):
+    """Lines dealt out by document, from which trees and texts are made without moving them again."""
+    return settle_by(tb.lines(spark, d), "lines", "doc")
+
+
+def _located(spark, d, lines):
+    return sections.heading_offsets(_tree(spark, d, lines), lines)
 
 
 @query()
 def structure_chunks(spark, d):
-    return chunkers.structure_chunks(tb.lines(spark, d), _located(spark, d), most=400, large=600)
+    lines = _lines(spark, d)
+    return chunkers.structure_chunks(lines, _located(spark, d, lines), most=400, large=600)
 
 
 @query()
 def semantic_chunks(spark, d):
-    return chunkers.semantic_chunks(tb.lines(spark, d), _tree(spark, d), most=800)
+    lines = _lines(spark, d)
+    return chunkers.semantic_chunks(lines, _tree(spark, d, lines), most=800)
 
 
 @query()
 def hybrid_chunks(spark, d):
-    return chunkers.hybrid_chunks(tb.lines(spark, d), _located(spark, d), most=400, large=600)
+    lines = _lines(spark, d)
+    return chunkers.hybrid_chunks(lines, _located(spark, d, lines), most=400, large=600)
 
 
 @query(sql.STRIDES)

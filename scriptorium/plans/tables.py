@@ -59,9 +59,10 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc", (F.col("i") + 1).alias("physical_page"), F.when(F.col("i") >= 6, F.col("i") - 5).alias("printed_page"), "text")
 
 
-def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bookmarks(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Every line's first 40 characters as a bookmark whose level follows from its number."""
-    return lines(spark, sf_dir).select("doc", F.col("physical_page").alias("seq"), F.col("physical_page").alias("page"), (F.col("physical_page") % 5 + 1).alias("level"), F.substring("text", 1, 40).alias("title"))
+    rows = lines(spark, sf_dir) if rows is None else rows
+    return rows.select("doc", F.col("physical_page").alias("seq"), F.col("physical_page").alias("page"), (F.col("physical_page") % 5 + 1).alias("level"), F.substring("text", 1, 40).alias("title"))
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import numeric
 from scriptorium.operators import audit, chunkers, html, matching, sections, validation as va
-from scriptorium.sources import readers, writers
+from scriptorium.sources import readers, stored, writers
 from scriptorium.streaming import logs
 
 PAGE = """<html><head><title>LIB: Functions</title></head><body><div class="navpath">skip</div><div class="contents">
@@ -206,3 +207,26 @@ def test_few_pages_are_held(spark):
     parts = list(made[0](iter([batch])))
     assert max(p.num_rows for p in parts) <= html.PAGES_HELD < 150 and [x for p in parts for x in p.column(0).to_pylist()] == list(range(150))
     assert all(p.column(2)[0].as_py() == parts[0].column(2)[0].as_py() for p in parts)
+
+
+def test_dealt_by_document(spark):
+    """Tables dealt out by document are grouped and joined by document and more without moving a row."""
+    rows = spark.range(40).selectExpr("id % 7 AS doc", "id AS ord", "concat('t', id) AS text")
+    a, b = (stored.settle_by(rows, name, "doc") for name in ("a", "b"))
+    both = a.join(b.withColumnRenamed("text", "u").hint("merge"), ["doc", "ord"]).groupBy("doc", "ord").agg(F.max("u").alias("u"))
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, both.collect())) == [(d, o, f"t{o}") for d, o in sorted((i % 7, i) for i in range(40))]
+
+
+def test_breaks_cut_each_sentence_once(spark):
+    """Adding up the neighbours' vectors gives what embedding the three sentences as one text gives; distances are made once."""
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    said = [(f"d{i % 3}", i, " ".join(words[(i * k) % 8] for k in range(1, i % 6 + 1))) for i in range(50)]
+    rows = spark.createDataFrame(said, "doc string, seq int, sentence string")
+    plain = lambda c: numeric.hash_vector(c)
+    once, thrice = (chunkers.semantic_breaks(rows, e, 0.5) for e in (numeric.hash_vector, plain))
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, thrice.collect())) and once.agg(F.max("part")).first()[0] > 0
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+    counts = {w: spark.range(1).select(F.pmod(F.xxhash64(F.lit(w)), F.lit(16))).first()[0] for w in words}
+    for text in ("alpha beta alpha", "", "zeta"):
+        assert spark.range(1).select(numeric.hash_vector(F.lit(text))).first()[0] == [float(sum(counts[w] == j for w in text.split())) for j in range(16)]
