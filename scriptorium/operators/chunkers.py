@@ -66,18 +66,20 @@ def structure_chunks(pages: DataFrame, tree: DataFrame, *, most: int = MAX_CHARS
     deep = second.filter((F.col("level") == 4) & (F.col("size") > most)).join(inner.select("doc", "ord").distinct(), ["doc", "ord"], "left_semi")
     third = deep.select("doc", "ord").join(inner, ["doc", "ord"]).select("doc", F.col("child").alias("ord"))
     used = units.select("doc", "ord").join(split, ["doc", "ord"], "left_anti").union(second.select("doc", "ord").join(deep, ["doc", "ord"], "left_anti")).union(third)
-    bodies = used.distinct().join(texts, ["doc", "ord"])
+    # unions forget how their parts are dealt out: those of numbers are dealt out anew, those of texts come last
+    used = settle_by(used.distinct(), "used-sections", "doc")
+    placed = tree.select("doc", "ord", "node_id", "page_start")
+    bodies = used.join(texts, ["doc", "ord"]).join(placed, ["doc", "ord"])
     # a lead is the section cut at its first subsection
-    parents = split.select("doc", "ord").union(deep.select("doc", "ord")).distinct()
+    parents = settle_by(split.select("doc", "ord").union(deep.select("doc", "ord")).distinct(), "lead-sections", "doc")
     first = parents.join(inner, ["doc", "ord"]).groupBy("doc", "ord").agg(F.min("child").alias("child"))
     heads = tree.select("doc", F.col("ord").alias("child"), *[F.col(c).alias(f"b_{c}") for c in sections.BOUNDARY])
     own = tree.select("doc", "ord", "title", "page_start", "page_end", "heading_page", "heading_offset").join(first, ["doc", "ord"]).join(heads, ["doc", "child"])
     own = own.withColumn("boundary", F.when(F.col("child") > F.col("ord"), F.struct(F.col("child").alias("ord"), *[F.col(f"b_{c}").alias(c) for c in sections.BOUNDARY])))
     leads = sections.bounded_texts(own, pages).join(own.select("doc", "ord", "title"), ["doc", "ord"])
-    leads = leads.filter(tx.squeeze(F.col("text")) != tx.squeeze(F.col("title"))).select("doc", "ord", "text")
-    bodies = bodies.select("doc", "ord", "text").unionByName(leads)
-    rows = bodies.select("doc", "ord", F.posexplode(assembler(most)(tx.atomic_segments(F.col("text")))).alias("chunk_no", "text"))
-    rows = rows.join(tree.select("doc", "ord", "node_id", "page_start"), ["doc", "ord"])
+    leads = leads.filter(tx.squeeze(F.col("text")) != tx.squeeze(F.col("title"))).select("doc", "ord", "text").join(placed, ["doc", "ord"])
+    bodies = bodies.unionByName(leads)
+    rows = bodies.select("doc", "ord", "node_id", "page_start", F.posexplode(assembler(most)(tx.atomic_segments(F.col("text")))).alias("chunk_no", "text"))
     return rows.select("doc", "ord", "chunk_no", "text", F.format_string(f"{prefix}_%s_%05d", "node_id", "chunk_no").alias("chunk_id"), F.col("page_start").alias("page"))
 
 
